@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovox.llm import langid, mixing, quality, sharding, simhash, toxicity
+from chronovox.llm import langid, lzphrases, mixing, quality, sharding, simhash, substrings, toxicity
 from chronovox.llm.common import documents, labels, remainder, stored, words
 
 
+def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzphrases.half_edited(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id")) == 2
@@ -18,6 +22,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_removed(documents(spark, sf_dir), window=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select(
@@ -50,5 +59,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows, [5, 2, 1], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_toxicity, op4_substring_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing)}
+
+#: Windows as texts, the least doc_id of each, and the words they cover.
+_OP4 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+    SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS t
+    FROM d, unnest(range(1, len(w) - 48)) AS u(p) WHERE len(w) >= 50
+), low AS (
+    SELECT t, min(doc_id) AS m FROM win GROUP BY t
+), gone AS (
+    SELECT DISTINCT win.doc_id, p + k AS q FROM win JOIN low USING (t), unnest(range(0, 50)) AS u(k) WHERE m < win.doc_id
+), g AS (
+    SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(qs, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4}
