@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovox.llm import langid, lzphrases, mixing, quality, sharding, simhash, substrings, toxicity
+from chronovox.llm import langid, lzphrases, mixing, quality, sentencepieces, sharding, simhash, substrings, surrogates, toxicity
 from chronovox.llm.common import documents, labels, remainder, stored, words
 
 
@@ -22,11 +22,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+#: A deployment passes its own secret; surrogates of different keys have nothing in common.
+KEY = b"a key that only serves these queries"
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.replaced(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats_removed(documents(spark, sf_dir), window=50).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepieces.coded(documents(spark, sf_dir), sentencepieces.Vocabulary.load(TOKENIZER))
+    return found.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select(
@@ -59,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows, [5, 2, 1], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_toxicity, op4_substring_dedup, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_toxicity, op3_pii_surrogates, op4_substring_dedup, op5_sentencepiece, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing)}
 
 #: Windows as texts, the least doc_id of each, and the words they cover.
 _OP4 = r"""
