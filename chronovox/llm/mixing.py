@@ -140,16 +140,19 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, most: int =
     rounded = _rounded(cells, state, most).select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("n").alias("__n"), F.col("copies").alias("__copies"))
     solved = goal.join(state.select(F.col("source").alias("__s"), "multiplier", "mean"), F.col("source").eqNullSafe(F.col("__s")), "left").select(
         F.col("source").alias("__goal"), "source_size", "target", "multiplier", "mean")
+    # What documents need of their source comes with their cell, so that no join deals documents by source alone.
+    own = cells.select(F.col("source").alias("__cs"), F.col("size").alias("__cz"))
+    own = own.join(solved, F.col("__cs").eqNullSafe(F.col("__goal"))).join(
+        rounded, F.col("__cs").eqNullSafe(F.col("__source")) & (F.col("__cz") == F.col("__size")), "left")
     # A cell may be hot: its rows are dealt into ranges of the hash, and the odd copies into the ranges likewise.
     share_of = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 56)
     parts = docs.withColumn("__part", share_of)
     sizes = parts.groupBy("source", "size", "__part").agg(F.count(F.lit(1)).alias("__in"))
     before = F.coalesce(F.sum("__in").over(Window.partitionBy("source", "size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("__before", before).select(F.col("source").alias("__ps"), F.col("size").alias("__pz"), F.col("__part").alias("__pp"), "__before")
+    starts = sizes.withColumn("__before", before).join(own, F.col("source").eqNullSafe(F.col("__cs")) & (F.col("size") == F.col("__cz"))).select(
+        F.col("source").alias("__ps"), F.col("size").alias("__pz"), F.col("__part").alias("__pp"), "__before", "__n", "__copies", "source_size", "target", "multiplier", "mean")
     placed = parts.withColumn("__rank", F.row_number().over(Window.partitionBy("source", "size", "__part").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id")))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__ps")) & (F.col("size") == F.col("__pz")) & (F.col("__part") == F.col("__pp")))
-    full = placed.join(rounded, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")), "left").join(
-        solved, F.col("source").eqNullSafe(F.col("__goal")))
+    full = placed.join(starts, F.col("source").eqNullSafe(F.col("__ps")) & (F.col("size") == F.col("__pz")) & (F.col("__part") == F.col("__pp")))
     at = F.col("__before") + F.col("__rank") - 1
     copies = F.when(F.col("__n").isNull(), 1).otherwise(
         F.expr("__copies div __n") + F.when(at < F.col("__copies") % F.col("__n"), 1).otherwise(0)).cast("int")
