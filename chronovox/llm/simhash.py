@@ -166,14 +166,16 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for every end of an edge (a, b: bigint), a member of its component that all its members share.
 
-    Rounds of contraction: each node joins its least neighbour, edges are mapped to the joined nodes and deduplicated;
-    then the rounds' maps are followed back. Nodes are ordered as they are; fingerprints are as good as random, which
-    keeps the rounds logarithmic. A node with very many neighbours is one row of a pre-aggregated minimum."""
+    Rounds of contraction: each node joins the neighbour of least hash, or stays if its own is the least; edges are
+    mapped to the joined nodes and deduplicated; then the rounds' maps are followed back. Hashes differ from round to
+    round, so a fixed share of the nodes is expected to go in each, however they are linked. A node with very many
+    neighbours is one row of a pre-aggregated minimum."""
     maps = []
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        to = stored(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")))
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
+        to = stored(both.groupBy("node").agg(F.min(ranked("to")).alias("m")).select("node", F.least(F.col("m"), ranked("node"))["x"].alias("to")))
         maps.append(to)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))

@@ -129,8 +129,8 @@ def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the order that sorts them, and the runs' starts. Stable, so owners ascend in a run."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys in order, the stable order that sorts them, and where each run of equal ones starts."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     return k, order, np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
@@ -162,7 +162,7 @@ def repeats_removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def probes(table: pa.Table) -> pa.Table:
         w = Words(table.column("text"))
         at, h = w.windows(block)
-        keys, order, start = _runs(_key(h, buckets), at)
+        keys, order, start = _runs(_key(h, buckets))
         at = at[order]
         doc = w.doc[at]
         anchor = (at - w.bounds[doc]) % block == 0
@@ -172,7 +172,7 @@ def repeats_removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         keys = keys[start]
         bucket = (keys >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        parts = [slice(a, b) for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
+        parts = [slice(a, b) for a, b in zip(cut, np.r_[cut[1:], len(keys)][: len(cut)], strict=True)]
         return pa.table({
             "bucket": pa.array(bucket[cut], pa.int64()),
             "g": pa.array(np.full(len(cut), table.column("g")[0].as_py()), pa.int64()),
@@ -184,7 +184,7 @@ def repeats_removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def met(table: pa.Table) -> pa.Table:
         lists = [_unpack_sorted(x.as_py(), "<u4") for x in table.column("h")]
         flag = lambda name: np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(y)).astype(bool) for x, y in zip(table.column(name), lists, strict=True)])
-        keys, order, start = _runs(np.concatenate(lists), None)
+        keys, order, start = _runs(np.concatenate(lists))
         several = (np.diff(np.r_[start, len(keys)]) > 1) | np.logical_or.reduceat(flag("many")[order], start)
         hit = keys[start][several & np.logical_or.reduceat(flag("anchor")[order], start)].astype(np.uint64)
         bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(32)
@@ -216,7 +216,7 @@ def repeats_removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         last = np.r_[start[1:], len(h)] - 1 if len(start) else start
         many, least, bucket, h = own[start] != own[last], own[start], bucket[start], h[start]
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else start
-        parts = [slice(a, b) for a, b in zip(cut, np.r_[cut[1:], len(h)], strict=True)]
+        parts = [slice(a, b) for a, b in zip(cut, np.r_[cut[1:], len(h)][: len(cut)], strict=True)]
         return pa.table({
             "bucket": pa.array(bucket[cut], pa.int64()),
             "g": pa.array(np.full(len(cut), table.column("g")[0].as_py()), pa.int64()),
@@ -228,7 +228,7 @@ def repeats_removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     def least(table: pa.Table) -> pa.Table:
         lists = [_unpack_sorted(x.as_py(), "<u8") for x in table.column("h")]
         own = [unpack(x.as_py(), "<i8") for x in table.column("least")]
-        keys, order, start = _runs(np.concatenate(lists), None)
+        keys, order, start = _runs(np.concatenate(lists))
         lowest, keys = np.minimum.reduceat(np.concatenate(own)[order], start), keys[start]
         bucket = table.column("bucket")[0].as_py()
         g, h, low = [], [], []
