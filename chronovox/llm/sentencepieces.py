@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Characters indexed at a time, words kept from batch to batch, and the longest word relaxed in rounds.
 INDEXED = 600_000
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 LONG = 48
 _NONE = np.iinfo(np.int64).max
 
