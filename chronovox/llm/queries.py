@@ -16,8 +16,7 @@ def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id")) == 2
-    rows = docs.where(~held_out).select("doc_id", "text").join(labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id")
-    machine = toxicity.train(rows)
+    machine = toxicity.train(docs, labels(spark, sf_dir).where(~held_out))
     return toxicity.scored(docs, machine).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 

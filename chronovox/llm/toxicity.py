@@ -32,6 +32,16 @@ def terms(text: str | None) -> dict[int, int]:
     return out
 
 
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(counts: dict[int, int]) -> Bag:
+    """Buckets, ascending, and their counts."""
+    ids, n = np.fromiter(counts, "<i4", len(counts)), np.fromiter(counts.values(), "<i4", len(counts))
+    order = np.argsort(ids)
+    return ids[order], n[order]
+
+
 class Machine:
     """buckets: sorted, those with parameters."""
 
@@ -45,19 +55,18 @@ class Machine:
         self.v = rng.normal(0, 0.05, size=(len(buckets) + 1, factors))
         self.w[-1], self.v[-1] = 0, 0
 
-    def features(self, docs: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, bags: list[Bag]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(offsets, parameter of each entry, value of each entry). A document without known terms has one zero entry."""
-        offsets, which, value = [], [], []
-        for d in docs:
-            offsets.append(len(which))
-            for k in sorted(d):
-                if (j := self.index[k]) >= 0:
-                    which.append(j)
-                    value.append(1.0 + np.log(d[k]))
-            if offsets[-1] == len(which):
-                which.append(len(self.buckets))
-                value.append(0.0)
-        return np.array(offsets, dtype=np.int64), np.array(which, dtype=np.int64), np.array(value)
+        owner = np.repeat(np.arange(len(bags)), [len(ids) for ids, _ in bags])
+        which = self.index[np.concatenate([ids for ids, _ in bags])].astype(np.int64)
+        value = 1.0 + np.log(np.concatenate([n for _, n in bags]))
+        known = which >= 0
+        none = np.flatnonzero(np.bincount(owner[known], minlength=len(bags)) == 0)
+        owner = np.r_[owner[known], none]
+        order = np.argsort(owner, kind="stable")
+        which = np.r_[which[known], np.full(len(none), len(self.buckets))][order]
+        value = np.r_[value[known], np.zeros(len(none))][order]
+        return np.searchsorted(owner[order], np.arange(len(bags))), which, value
 
     def margin(self, offsets, which, value):
         xv = self.v[which] * value[:, None]
@@ -68,17 +77,17 @@ class Machine:
     def score(self, docs: list[dict[int, int]]) -> np.ndarray:
         if not docs:
             return np.zeros(0)
-        return 1.0 / (1.0 + np.exp(-np.clip(self.margin(*self.features(docs))[0], -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.margin(*self.features([bag(d) for d in docs]))[0], -30, 30)))
 
-    def fit(self, docs: list[dict[int, int]], y: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 2e-3, batch: int = 256, seed: int = 2) -> None:
+    def fit(self, bags: list[Bag], y: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 2e-3, batch: int = 256, seed: int = 2) -> None:
         """Adagrad on the log loss, with decaying parameters."""
-        offsets, which, value = self.features(docs)
+        offsets, which, value = self.features(bags)
         ends = np.r_[offsets[1:], len(which)]
         gw0, gw, gv = 1e-6, np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6)
         self.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         rng = np.random.Generator(np.random.PCG64(seed))
         for _ in range(epochs):
-            order = rng.permutation(len(docs))
+            order = rng.permutation(len(bags))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
                 lengths = ends[own] - offsets[own]
@@ -104,11 +113,11 @@ class Machine:
                 self.w0 -= rate * d0 / np.sqrt(gw0)
 
 
-def _screened(docs: list[dict[int, int]], y: np.ndarray, most: int, least_z: float) -> np.ndarray:
+def _screened(bags: list[Bag], y: np.ndarray, most: int, least_z: float) -> np.ndarray:
     """Buckets whose document frequency differs between the labels by least_z standard errors, at most `most`."""
     frequency = np.zeros((2, BUCKETS))
-    for d, label in zip(docs, y, strict=True):
-        frequency[int(label), np.fromiter(d, dtype=np.int64, count=len(d))] += 1
+    for (ids, _), label in zip(bags, y, strict=True):
+        frequency[int(label), ids] += 1
     n = np.array([[max(1, (y == 0).sum())], [max(1, (y == 1).sum())]])
     p = frequency / n
     pooled = frequency.sum(axis=0) / n.sum()
@@ -118,37 +127,42 @@ def _screened(docs: list[dict[int, int]], y: np.ndarray, most: int, least_z: flo
     return np.sort(chosen[z[chosen] >= least_z])
 
 
-def train(rows: DataFrame, max_rows: int = 10_000, max_terms: int = 4096, least_z: float = 6.0, factors: int = 8) -> Machine:
-    """rows: doc_id, text, toxic (0 or 1). Rows of null label don't count; a null text is empty.
+def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_000, max_terms: int = 4096, least_z: float = 6.0, factors: int = 8) -> Machine:
+    """rows: doc_id, text; labels: doc_id, toxic (0 or 1). Without labels, rows has toxic too. Rows of null label don't
+    count, nor, with labels, null ids; a null text is empty.
 
     About max_rows labelled rows of each label are used, those of least hash of the id, in full; all if there are
-    fewer. Near copies count once: of rows whose three least term hashes agree, one of each label stays. The intercept
-    is moved from the sample's share of label 1 to that of all labelled rows. Without both labels the score is a
-    constant."""
-    rows = rows.where("toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    share = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    fewer. With labels, these are sampled before they meet any text: each pair of id and label counts once, so at most
+    about 2 * max_rows pairs are broadcast at any size, and texts are scanned where they lie. Near copies count once: of
+    rows whose three least term hashes agree, one of each label stays. The intercept is moved from the sample's share of
+    label 1 to that of all labels. Without both labels the score is a constant."""
+    marked = (rows if labels is None else labels).where("toxic IS NOT NULL").withColumn("toxic", F.col("toxic").cast("int"))
+    if labels is not None:
+        marked = marked.where("doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
+    share = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                d = terms(text.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([label], pa.int32()), pa.array([np.fromiter(d, "<i4", len(d)).tobytes()]), pa.array([np.fromiter(d.values(), "<i4", len(d)).tobytes()])],
-                    ["toxic", "buckets", "counts"])
-
-    sample = bounded_sample(rows, "toxic", "doc_id", max_rows).select("text", "toxic")
-    docs, y, seen = [], [], set()
-    for label, buckets, counts in sorted(map(tuple, sample.mapInArrow(run, "toxic int, buckets binary, counts binary").collect())):
+                ids, n = bag(terms(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([ids.tobytes()]), pa.array([n.tobytes()])], ["toxic", "buckets", "counts"])
+
+    sample = bounded_sample(marked, "toxic", "doc_id", max_rows)
+    if labels is not None:
+        sample = rows.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, buckets binary, counts binary")
+    bags, y, seen = [], [], set()
+    for label, buckets, counts in sorted(map(tuple, found.collect())):
         ids = np.frombuffer(buckets, "<i4")
-        key = (label, *np.sort(ids)[:3].tolist())
+        key = (label, *ids[:3].tolist())
         if key not in seen:
             seen.add(key)
-            docs.append(dict(zip(ids.tolist(), np.frombuffer(counts, "<i4").tolist(), strict=True)))
+            bags.append((ids, np.frombuffer(counts, "<i4")))
             y.append(label)
     y = np.array(y, dtype=np.float64)
-    machine = Machine(_screened(docs, y, max_terms, least_z) if len(docs) else np.zeros(0, dtype=np.int64), factors)
-    if len(docs):
-        machine.fit(docs, y)
+    machine = Machine(_screened(bags, y, max_terms, least_z) if bags else np.zeros(0, dtype=np.int64), factors)
+    if bags:
+        machine.fit(bags, y)
     odds = lambda a, b: np.log((a + 1) / (b + 1))
     machine.w0 += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())
     return machine

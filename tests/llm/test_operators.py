@@ -193,6 +193,20 @@ def test_machine_learns_interactions(spark, docs, empty):
     assert toxicity.scored(empty, nothing).collect() == []
 
 
+def test_toxicity_labels_apart_from_texts(spark, docs):
+    """Labels that repeat, lack a document, or are null; null and repeated ids and null texts among the documents."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [(k, " ".join([f"w{x}" for x in rng.integers(0, 300, 20)] + ["insult"] * (k % 3 == 0))) for k in range(100, 900)]
+    marks = [(k, int(k % 3 == 0)) for k, _ in rows]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    labels = spark.createDataFrame(marks + marks[:300] + [(5000, 1), (None, 1), (101, None), (2, 0), (4, 0)], "doc_id long, toxic int")
+    machine = toxicity.train(texts, labels)
+    bad, good = machine.score([toxicity.terms("w1 insult w2"), toxicity.terms("w1 w2")])
+    assert bad > 0.5 and good < 0.2
+    again = toxicity.train(texts.repartition(5), labels.repartition(3))
+    assert np.array_equal(again.w, machine.w) and np.array_equal(again.v, machine.v)
+
+
 def fill(sizes, weights, total):
     """Water-filling by repeated sharing."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
