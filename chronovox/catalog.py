@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovox.operators import lineage, spatial, transforms, voxels
+from chronovox.functions import angles
+from chronovox.operators import lineage, motion, spatial, transforms, voxels
 from chronovox.sources import tables as t
 
 QUERIES: dict = {}
@@ -316,3 +317,70 @@ def percentile_shells(spark, d):
     return t.nodes(spark, d).groupBy("label").agg(F.round(F.percentile(r, 0.8), 6).alias("outer_r"), F.round(F.percentile(r, 0.2), 6).alias("inner_r"))
 
 
+@query("""WITH d AS (SELECT vec_id % 8 AS t, vec_id // 8 AS cell, CASE WHEN vec_id % 8 = 0 THEN -1 ELSE vec_id // 8 + label * 3 END AS parent FROM embeddings)
+    SELECT d.t, d.cell, d.parent, CAST(m.cell IS NOT NULL AS INTEGER) AS linked, CAST(m.cell IS NULL AND d.parent <> -1 AS INTEGER) AS lost FROM d LEFT JOIN d m ON m.t = d.t - 1 AND m.cell = d.parent""")
+def parent_link(spark, d):
+    e = t.table(spark, d, "embeddings")
+    cell = F.expr("vec_id div 8")
+    return motion.linked(e.select((F.col("vec_id") % 8).alias("t"), cell.alias("cell"), F.when(F.col("vec_id") % 8 == 0, -1).otherwise(cell + F.col("label") * 3).alias("parent")))
+
+
+@query(f"WITH {_T}, s AS (SELECT * FROM tr WHERE t % 3 <> 1) SELECT track, t, id, round(abs(v - lag(v) OVER w) * 2.0 / (t - lag(t) OVER w), 6) AS speed FROM s WINDOW w AS (PARTITION BY track ORDER BY t)")
+def velocity(spark, d):
+    return motion.speeds(t.tracks(spark, d).where("t % 3 <> 1"), 2.0).select("track", "t", "id", _r("speed"))
+
+
+_I = f"""{_T}, k AS (SELECT track, t, v, (lead(v) OVER w - v) / (lead(t) OVER w - t) AS o, (v - lag(v) OVER w) / (t - lag(t) OVER w) AS i FROM tr WHERE t % 4 = 1 WINDOW w AS (PARTITION BY track ORDER BY t)),
+    q AS (SELECT track, t FROM tr WHERE t % 4 <> 1)"""
+_NEAR = "q ASOF LEFT JOIN k a ON q.track = a.track AND q.t >= a.t ASOF LEFT JOIN k b ON q.track = b.track AND q.t <= b.t"
+
+
+def _interpolation(name, beyond, before, after):
+    def f(spark, d):
+        x = t.tracks(spark, d)
+        return motion.interpolated(x.where("t % 4 = 1"), x.where("t % 4 <> 1"), beyond).select("track", "t", _r("v"))
+
+    f.__name__ = name
+    query(f"""WITH {_I} SELECT q.track, q.t, round(CASE WHEN a.t IS NULL AND b.t IS NULL THEN NULL WHEN a.t IS NULL THEN {before} WHEN b.t IS NULL THEN {after}
+        ELSE a.v + (b.v - a.v) * (q.t - a.t) / (b.t - a.t) END, 6) AS v FROM {_NEAR}""")(f)
+
+
+_interpolation("interp_linear", "clamp", "b.v", "a.v")
+_interpolation("interp_zero", "zero", "0", "0")
+_interpolation("interp_extrapolate", "extrapolate", "b.v + coalesce(b.o, b.i, 0) * (q.t - b.t)", "a.v + coalesce(a.i, a.o, 0) * (q.t - a.t)")
+
+
+@query(f"""WITH {_P}, c AS (SELECT i, CASE WHEN ax * qy - ay * qx > 0 THEN -1 ELSE 1 END AS s,
+    greatest(-1, least(1, (ax * qx + ay * qy + az * qz) / sqrt((ax * ax + ay * ay + az * az) * (qx * qx + qy * qy + qz * qz)))) AS cs FROM pr) SELECT i, round(s * acos(cs), 5) AS angle FROM c""")
+def oriented_angle(spark, d):
+    up = (F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return _pairings(spark, d).select("i", F.round(angles.oriented_angle(angles.vector("a"), angles.vector("b"), up), 5).alias("angle"))
+
+
+@query(f"WITH {_P} SELECT g, {', '.join(f'round(sum((i % 5 + 1) * (q{c} - a{c})) / sum(i % 5 + 1), 6) AS d{c}' for c in 'xyz')} FROM pr GROUP BY 1")
+def stabilise(spark, d):
+    return motion.weighted_translation(_pairings(spark, d), F.col("i") % 5 + 1).select("g", _r("dx"), _r("dy"), _r("dz"))
+
+
+@query(f"""WITH {_K}, f AS (SELECT a AS id, t, avg(d) AS density FROM k WHERE rank <= 9 GROUP BY 1, 2), v AS (SELECT a.id, min({_D}) AS d FROM n a JOIN n b ON a.t = b.t AND b.id % 3 = 0 GROUP BY 1)
+    SELECT f.id, f.t, round(v.d / f.density, 6) AS ratio FROM f JOIN v USING (id) WHERE v.d / f.density > 1.25""")
+def seed_candidates(spark, d):
+    n = t.nodes(spark, d)
+    return spatial.seeds(n, n.where("id % 3 = 0")).select("id", "t", _r("ratio"))
+
+
+@query(f"WITH {_V} SELECT x + 3 * z - lx AS x, y - z - ly AS y, v, z FROM im, (SELECT min(x + 3 * z) AS lx, min(y - z) AS ly FROM im)")
+def shift_bbox(spark, d):
+    return voxels.on_canvas(t.voxels(spark, d).select((F.col("x") + 3 * F.col("z")).alias("x"), (F.col("y") - F.col("z")).alias("y"), "z", "v"), "xy")
+
+
+def landmark_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """The cheapest one-to-one pairs between two frames' few nodes of a label."""
+    n = t.nodes(spark, d).select("id", "t", "label", "x", "y", "z")
+    a, b = n.where("t = 0").alias("a"), n.where("t = 1").alias("b")
+    return motion.assigned(a.join(b, F.col("a.label") == F.col("b.label")).select(
+        F.col("a.label").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), spatial.distance("a", "b").alias("cost")))
+
+
+#: SQL can't express it; tests compare it with all permutations.
+QUERIES["landmark_assignment"] = landmark_assignment

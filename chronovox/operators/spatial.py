@@ -66,6 +66,13 @@ def density(points: DataFrame, n: int = 10) -> DataFrame:
     return knn(points, points, n - 1).groupBy(F.col("a").alias("id"), "t").agg(F.avg("d").alias("density"))
 
 
+def seeds(points: DataFrame, field: DataFrame, ratio: float = 1.25, n: int = 10) -> DataFrame:
+    """id, t, ratio: points whose distance to the nearest of `field` in their frame, itself included, exceeds `ratio` times
+    their density. Frames without field points give none."""
+    near = knn(points, field, 1, itself=True).select(F.col("a").alias("id"), "t", "d")
+    return density(points, n).join(near, ["id", "t"]).select("id", "t", (F.col("d") / F.col("density")).alias("ratio")).where(F.col("ratio") > ratio)
+
+
 def gabriel(points: DataFrame, most: float | None = None) -> DataFrame:
     """t, a, b (a < b): pairs of a frame with no other point strictly inside the sphere over them. With `most`, pairs up to
     that length, found over grid cells; without, all pairs of a frame are candidates, of which those go first that the six

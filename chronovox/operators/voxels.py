@@ -81,3 +81,9 @@ def resampled_nearest(image: DataFrame, scale: float) -> DataFrame:
     n = int(scale)
     o = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in range(n) for j in range(n) for k in range(n)])
     return image.withColumn("o", F.explode(o)).select(*[(F.col(c) * n + F.col(f"o.{c}")).alias(c) for c in "xyz"], "v")
+
+
+def on_canvas(image: DataFrame, axes: str = "xyz") -> DataFrame:
+    """The image moved so that its bounding box starts at 0 along the axes; one row of bounds is broadcast."""
+    least = image.agg(*[F.min(c).alias(f"__{c}") for c in axes])
+    return image.crossJoin(F.broadcast(least)).select(*[(F.col(c) - F.col(f"__{c}")).alias(c) if c in axes else F.col(c) for c in "xyz"], "v")
