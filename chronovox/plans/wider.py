@@ -165,7 +165,7 @@ def hysteresis(spark, d):
     return filters.hysteresis(t.voxels(spark, d), 47, 49, 2)
 
 
-@query(f"""WITH {_V}, a AS (SELECT x, y, z, v // 10 AS l FROM im), b AS (SELECT x, y, z - 1 AS z, v // 10 AS r FROM im) SELECT CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, count(*) AS n FROM a JOIN b USING (x, y, z) GROUP BY 1, 2""")
+@query(f"""WITH {_V}, a AS (SELECT x, y, z, floor(v / 10) AS l FROM im), b AS (SELECT x, y, z - 1 AS z, floor(v / 10) AS r FROM im) SELECT CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, count(*) AS n FROM a JOIN b USING (x, y, z) GROUP BY 1, 2""")
 def label_overlap(spark, d):
     a = t.voxels(spark, d).withColumn("v", F.floor(F.col("v") / 10))
     return filters.label_overlap(a, a.withColumn("z", F.col("z") - 1))
