@@ -16,7 +16,7 @@ def _numbers(text: Column) -> Column:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (number from 0), text. Such files are small; each is one row, as their order counts."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 
@@ -37,7 +37,7 @@ def matrices(spark: SparkSession, path: str, sign: float = 1.0) -> DataFrame:
 
 def correspondences(spark: SparkSession, path: str) -> DataFrame:
     """file, line, l, r: every pair of labels across the dash of `l0 l1 - r0 r1`."""
-    side = lambda k: F.expr(f"transform(regexp_extract_all(split(text, '-')[{k}], '([0-9]+)'), x -> CAST(x AS BIGINT))")
+    side = lambda k: F.expr(f"transform(regexp_extract_all(get(split(text, '-'), {k}), '([0-9]+)'), x -> CAST(x AS BIGINT))")
     rows = _lines(spark, path).where(F.col("text").contains("-") & ~F.col("text").rlike(COMMENT)).select("file", "line", side(0).alias("ls"), side(1).alias("rs"))
     return rows.withColumn("l", F.explode("ls")).select("file", "line", "l", F.explode("rs").alias("r"))
 
