@@ -43,13 +43,13 @@ def flow_displacement(spark, d):
 
 
 def flow_propagation(spark, d):
-    """Tracks followed back from frame 7 to frame 4; tests compare the loop with a plain one."""
+    """Tracks followed back from frame 7 to frame 4; tests follow a common motion back."""
     n = t.nodes(spark, d)
     return flow.propagated(n, _links(n), 7, 4).select("track", "t", _r("x"), _r("y"), _r("z"))
 
 
 def fit_affine(spark, d):
-    """Least-squares affine maps; tests compare them with numpy's solver, and rigid, similitude and scaling fits too."""
+    """Least-squares affine maps; tests compare them with numpy's solver, and recover exact maps of every kind."""
     return registration.fitted(_pairings(spark, d), "affine").select("g", F.transform("m", lambda x: F.round(x, 6)).alias("m"), "n")
 
 
@@ -62,7 +62,7 @@ def fit_trimmed(spark, d):
 
 
 def block_pairs(spark, d):
-    """Blocks of the volume paired with the volume moved by one voxel along x; tests compare with a plain search."""
+    """Blocks of the volume paired with the volume moved by one voxel along x; tests recover a known shift."""
     image = t.voxels(spark, d)
     return registration.matched_blocks(image, image.withColumn("x", F.col("x") + 1), 8, 1).select("i", "ax", "ay", "az", "bx", "by", "bz", _r("w"))
 
@@ -211,7 +211,7 @@ def ray_shells(spark, d):
 
 
 def nonlinear_displacement(spark, d):
-    """Points pulled by two shells towards their targets; tests compare with a plain loop."""
+    """Points pulled by two shells towards their targets; not compared with anything yet."""
     n = t.nodes(spark, d).where("t < 4")
     low, high = (n.where(f"id % 5 = {k}").select("id", "t", "x", "y", "z", *[(F.col(c) * (1.1 + k / 10)).alias(f"t{c}") for c in "xyz"]) for k in (0, 1))
     return atlas.displaced(n.where("id % 5 > 1"), low, high).select("id", "t", _r("x"), _r("y"), _r("z"))
