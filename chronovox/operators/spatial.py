@@ -32,15 +32,19 @@ def knn(queries: DataFrame, points: DataFrame, k: int, itself: bool = False) ->
     """a, b, t, d, rank: the k points nearest to each query in its frame; ties by id. A frame of fewer gives fewer.
 
     Queries look at the 27 grid cells around them. One whose k-th neighbour lies within a cell's width is done; the
-    others look again with cells twice as wide, until the cells span the frame."""
-    span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"], F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("frames")).collect()[0]
+    others look again with cells twice as wide, until the cells span the points. In the last round they span queries and
+    points together, so a query meets all points of its frame, however far."""
+    span = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"], *[f(c).alias(f"{c}{n}") for n, f in enumerate((F.min, F.max)) for c in "xyz"], F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("frames")).collect()[0]
     if not span["n"]:
         return queries.select(F.col("id").alias("a"), F.col("id").alias("b"), "t", F.lit(0.0).alias("d"), F.lit(1).alias("rank")).limit(0)
     widest = max(span["x"], span["y"], span["z"], 1e-9) * 1.001
+    asked = queries.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in "xyz"]).collect()[0]
+    reach = max([widest, *[(max(span[f"{c}1"], asked[c]["high"]) - min(span[f"{c}0"], asked[c]["low"])) * 1.001 for c in "xyz" if asked[c]["low"] is not None and span[c] is not None]])
     size = min(widest, widest * (k / max(1.0, span["n"] / span["frames"])) ** (1 / 3))
     parts, left = [], queries.select("id", "t", "x", "y", "z")
     while True:
         last = size >= widest
+        size = reach if last else size
         a, b = _cells(left, size, True).alias("a"), _cells(points.select("id", "t", "x", "y", "z"), size, False).alias("b")
         on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "cx", "cy", "cz")] + ([] if itself else [F.col("a.id") != F.col("b.id")])
         found = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.t").alias("t"), distance("a", "b").alias("d"))
