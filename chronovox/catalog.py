@@ -375,11 +375,9 @@ def shift_bbox(spark, d):
 
 
 def landmark_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """The cheapest one-to-one pairs between two frames' few nodes of a label."""
-    n = t.nodes(spark, d).select("id", "t", "label", "x", "y", "z")
-    a, b = n.where("t = 0").alias("a"), n.where("t = 1").alias("b")
-    return motion.assigned(a.join(b, F.col("a.label") == F.col("b.label")).select(
-        F.col("a.label").alias("g"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), spatial.distance("a", "b").alias("cost")))
+    """The cheapest one-to-one pairs between the nodes of a label in each frame, t, and the next."""
+    n = t.nodes(spark, d).select("t", F.col("label").alias("g"), "id", "x", "y", "z")
+    return motion.assigned_points(n, n.withColumn("t", F.col("t") - 1))
 
 
 #: SQL can't express it; tests compare it with all permutations.

@@ -87,6 +87,37 @@ def _least_assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Distances:
+    """The matrix of distances between two lists of points, a row at a time."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.shape = a, b, (len(a), len(b))
+
+    def __getitem__(self, row: int) -> np.ndarray:
+        return np.sqrt(np.square(self.b - self.a[row]).sum(axis=1))
+
+
+def assigned_points(left: DataFrame, right: DataFrame) -> DataFrame:
+    """t, g, a, b, cost: within each t and g the one-to-one pairs of points of least total distance, as many as the smaller
+    side has. left, right: t, g, id, x, y, z; a null g pairs with nothing. Points meet as points, never as a table of pairs,
+    so a task holds a group's rows only; its time still grows with the cube of the group."""
+
+    def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"t": [], "g": [], "a": [], "b": [], "cost": []})
+        a, b = a.sort_values("id"), b.sort_values("id")
+        flip = len(a) > len(b)
+        few, many = (b, a) if flip else (a, b)
+        costs = _Distances(few[list("xyz")].to_numpy(float), many[list("xyz")].to_numpy(float))
+        to = _least_assignment(costs)
+        own, other = few["id"].to_numpy(), many["id"].to_numpy()[to]
+        return pd.DataFrame({"t": key[0], "g": key[1], "a": other if flip else own, "b": own if flip else other, "cost": [costs[i][j] for i, j in enumerate(to)]})
+
+    sides = [x.where("g IS NOT NULL").select("t", "g", "id", "x", "y", "z").groupBy("t", "g") for x in (left, right)]
+    kind = {c: left.schema[c].dataType.simpleString() for c in ("t", "g", "id")}
+    return sides[0].cogroup(sides[1]).applyInPandas(solve, f"t {kind['t']}, g {kind['g']}, a {kind['id']}, b {right.schema['id'].dataType.simpleString()}, cost double")
+
+
 def assigned(costs: DataFrame) -> DataFrame:
     """g, a, b, cost: within each group (a landmark's few candidates) the one-to-one pairs of least total cost, as many as
     the smaller side has. costs: g, a, b, cost, one row for each pair of a group."""
