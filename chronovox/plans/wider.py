@@ -43,9 +43,11 @@ def flow_displacement(spark, d):
 
 
 def flow_propagation(spark, d):
-    """Tracks followed back from frame 7 to frame 4; tests follow a common motion back."""
+    """Tracks followed back from the last frame of the table to the first; tests follow a common motion back."""
     n = t.nodes(spark, d)
-    return flow.propagated(n, _links(n), 7, 4).select("track", "t", _r("x"), _r("y"), _r("z"))
+    ends = n.agg(F.max("t").alias("last"), F.min("t").alias("first")).collect()[0]
+    last, first = (0, 0) if ends["last"] is None else (ends["last"], ends["first"])
+    return flow.propagated(n, _links(n), last, first).select("track", "t", _r("x"), _r("y"), _r("z"))
 
 
 def fit_affine(spark, d):
