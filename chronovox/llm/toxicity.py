@@ -133,8 +133,8 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
 
     About max_rows labelled rows of each label are used, those of least hash of the id, in full; all if there are
     fewer. With labels, these are sampled before they meet any text: each pair of id and label counts once, so at most
-    about 2 * max_rows pairs are broadcast at any size, and texts are scanned where they lie. Near copies count once: of
-    rows whose three least term hashes agree, one of each label stays. The intercept is moved from the sample's share of
+    about 2 * max_rows pairs are broadcast at any size, and texts are scanned where they lie. Copies count once: of
+    rows whose terms and counts all agree, one of each label stays. The intercept is moved from the sample's share of
     label 1 to that of all labels. Without both labels the score is a constant."""
     marked = (rows if labels is None else labels).where("toxic IS NOT NULL").withColumn("toxic", F.col("toxic").cast("int"))
     if labels is not None:
@@ -154,7 +154,7 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
     bags, y, seen = [], [], set()
     for label, buckets, counts in sorted(map(tuple, found.collect())):
         ids = np.frombuffer(buckets, "<i4")
-        key = (label, *ids[:3].tolist())
+        key = (label, bytes(buckets), bytes(counts))
         if key not in seen:
             seen.add(key)
             bags.append((ids, np.frombuffer(counts, "<i4")))
