@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronovox.operators.checkpoints import stored
-from chronovox.operators.voxels import CROSS, components, dilated, eroded, spread
+from chronovox.operators.voxels import CROSS, components, dilated, eroded, number, spread
 
 PLACE = ["x", "y", "z"]
 
@@ -19,11 +19,6 @@ def ball(radius: float) -> list[tuple[int, int, int]]:
     return [(i, j, k) for i in range(-n, n + 1) for j in range(-n, n + 1) for k in range(-n, n + 1) if i * i + j * j + k * k <= radius * radius]
 
 
-def number() -> Column:
-    """A voxel's number in raster order."""
-    return F.col("x") * 1_000_000_000_000 + F.col("y") * 1_000_000 + F.col("z")
-
-
 def convolved(image: DataFrame, kernel: dict[int, float], axis: str, whole: bool = False) -> DataFrame:
     """The sum of kernel[d] * v(place + d) along an axis at each voxel, over the voxels that are there; `whole` divides by
     the sum of the weights that met a voxel."""
@@ -129,13 +124,13 @@ def by_size(labelled: DataFrame, most: int | None = None) -> DataFrame:
 CHAMFER = {(i, j, k): {1: 3, 2: 4, 3: 5}[abs(i) + abs(j) + abs(k)] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)}
 
 
-def distance_map(image: DataFrame, sources: DataFrame, chamfer: dict | None = None, most: int = 1000) -> DataFrame:
+def distance_map(image: DataFrame, sources: DataFrame, chamfer: dict | None = None) -> DataFrame:
     """x, y, z, d: the least chamfer length of a way inside the image from a source; voxels out of reach are left out. Each
     round moves the frontier by one voxel; it ends when nothing gets nearer."""
     steps = F.explode(F.array(*[F.struct(F.lit(o[0]).alias("x"), F.lit(o[1]).alias("y"), F.lit(o[2]).alias("z"), F.lit(w).alias("w")) for o, w in sorted((chamfer or CHAMFER).items())]))
     there = stored(image.select(*PLACE))
     best = stored(there.join(sources.select(*PLACE).distinct(), PLACE, "left_semi").withColumns({"d": F.lit(0), "new": F.lit(True)}))
-    for _ in range(most):
+    while True:
         ahead = best.where("new").withColumn("o", steps).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in PLACE], (F.col("d") + F.col("o.w")).alias("e"))
         ahead = ahead.groupBy(*PLACE).agg(F.min("e").alias("e")).join(there, PLACE, "left_semi")
         nearer = F.col("d").isNull() | (F.col("e") < F.col("d"))
@@ -153,12 +148,12 @@ def _lowest_step(image: DataFrame) -> DataFrame:
     return moved.join(own.select(*PLACE, "id"), PLACE).groupBy("id").agg(F.min("k").alias("k")).select("id", F.col("k.id").alias("to"))
 
 
-def basins(image: DataFrame, rounds: int = 60) -> DataFrame:
+def basins(image: DataFrame) -> DataFrame:
     """x, y, z, basin: watershed by steepest descent, equal values in order of number; each voxel takes the number of the
     minimum its way ends at. Pointer doubling: as many rounds as the logarithm of the longest way. For basins of maxima
     (or of a gradient) pass the image of -v (or of the gradient)."""
     step = stored(_lowest_step(image))
-    for _ in range(rounds):
+    while True:
         new = stored(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
         step = new.drop("moved")
         if new.where("moved").isEmpty():
@@ -170,20 +165,9 @@ def regional_maxima(image: DataFrame) -> DataFrame:
     """x, y, z, component: plateaus of equal value with no higher neighbour."""
     levels = spread(image, CROSS[1:]).withColumnRenamed("v", "u").join(image, PLACE)
     climb = levels.where("u > v").select(*PLACE).distinct()
-    own = image.select(*PLACE, "v", number().alias("id"))
-    o = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", s, strict=True)]) for s in CROSS]))
-    pairs = stored(own.withColumn("o", o).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in PLACE], "v", F.col("id").alias("other")).join(own, [*PLACE, "v"]).select("id", "other"))
-    label = stored(own.select("id", F.col("id").alias("c")))
-    while True:
-        least = pairs.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("c").alias("m"))
-        jump = label.select(F.col("id").alias("m"), F.col("c").alias("j"))
-        new = stored(label.join(least, "id").join(jump, "m").select("id", F.least("c", "m", "j").alias("n"), "c"))
-        label = new.select("id", F.col("n").alias("c"))
-        if new.where("n < c").isEmpty():
-            break
-    named = own.join(label, "id")
-    lost = named.join(climb, PLACE, "left_semi").select("c").distinct()
-    return named.join(lost, "c", "left_anti").select(*PLACE, F.col("c").alias("component"))
+    named = stored(components(image, ["v"]))
+    lost = named.join(climb, PLACE, "left_semi").select("component").distinct()
+    return named.join(lost, "component", "left_anti").select(*PLACE, "component")
 
 
 def label_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

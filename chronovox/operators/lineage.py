@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -26,18 +28,19 @@ def with_mother(nodes: DataFrame, edges: DataFrame, columns: list[str]) -> DataF
     return out.select("id", *columns, *[F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in ["mother_id", *[f"{c}_m" for c in columns]]])
 
 
-def to_root(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, root, depth for every end of an edge (src, dst; one src a dst), by pointer doubling: log2(depth) joins."""
-    up = edges.select(F.col("dst").alias("id"), F.col("src").alias("up"), F.lit(1).alias("depth"))
+def to_root(edges: DataFrame) -> DataFrame:
+    """id, root, depth for every end of an edge (src, dst; one src a dst), by pointer doubling: log2(depth) joins. A
+    cycle has no root and raises an error."""
+    up = edges.select(F.col("dst").alias("id"), F.col("src").alias("up"), F.lit(1).cast("long").alias("depth"))
     tops = edges.select(F.col("src").alias("id")).distinct().join(up.select("id"), "id", "left_anti")
-    up = stored(up.unionByName(tops.select("id", F.col("id").alias("up"), F.lit(0).alias("depth"))))
-    for _ in range(rounds):
+    up = stored(up.unionByName(tops.select("id", F.col("id").alias("up"), F.lit(0).cast("long").alias("depth"))))
+    for _ in range(up.count().bit_length() + 1):  # ways double each round: only those round a cycle are longer
         above = up.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         new = stored(up.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         up = new.drop("moved")
         if new.where("moved").isEmpty():
-            break
-    return up.select("id", F.col("up").alias("root"), "depth")
+            return up.select("id", F.col("up").alias("root"), "depth")
+    raise ValueError("the edges hold a cycle")
 
 
 def ancestor_steps(tracks: DataFrame, steps: int) -> DataFrame:
@@ -58,15 +61,15 @@ def closing(tracks: DataFrame, flag: Column, radius: int = 5) -> DataFrame:
 
 
 def smoothed(tracks: DataFrame, sigma: float = 5.0, radius: int = 20) -> DataFrame:
-    """track, t, smooth: a Gaussian over the track, mirrored at its ends (the end itself counts twice).
-
-    Each detection is joined with the 2 * radius + 1 places around it."""
-    n = tracks.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
-    around = tracks.select("track", "t").join(n, "track").withColumn("o", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-    folded = F.pmod(F.col("t") + F.col("o"), 2 * F.col("n"))
-    around = around.withColumn("at", F.when(folded < F.col("n"), folded).otherwise(2 * F.col("n") - 1 - folded)).withColumn("w", F.exp(-0.5 * F.col("o") * F.col("o") / sigma**2))
-    values = tracks.select("track", F.col("t").alias("at"), "v")
-    return around.join(values, ["track", "at"]).groupBy("track", "t").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("smooth"))
+    """track, t, smooth: a Gaussian over the track's detections in order of t, mirrored at its ends (the end itself counts
+    twice). What mirrors point at lies within `radius` rows, so one window of that width holds all that a row needs."""
+    near = F.collect_list(F.struct("v")).over(along().rowsBetween(-radius, radius))
+    rows = tracks.select("track", "t", near.alias("near"), (F.row_number().over(along()) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("track")).cast("int").alias("n"))
+    folded = lambda o: F.pmod(F.col("k") + o, 2 * F.col("n"))
+    place = lambda o: F.when(folded(o) < F.col("n"), folded(o)).otherwise(2 * F.col("n") - 1 - folded(o)) - F.greatest(F.col("k") - radius, F.lit(0))
+    weights = {o: math.exp(-0.5 * o * o / sigma**2) for o in range(-radius, radius + 1)}
+    parts = F.array(*[F.get("near", place(o))["v"] * w for o, w in weights.items()])
+    return rows.select("track", "t", (F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / sum(weights.values())).alias("smooth"))
 
 
 def filled(tracks: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame) -> DataFrame:
     both = left.select("track", "t", F.lit(None).cast("long").alias("k")).unionByName(right.select("track", "t", F.col("t").alias("k")))
     order = Window.partitionBy("track").orderBy("t")
     before = F.last("k", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("k", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    after = F.last("k", ignorenulls=True).over(Window.partitionBy("track").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
     near = both.withColumns({"b": before, "a": after}).where("k IS NULL")
     return near.select("track", "t", F.when(F.col("b").isNull() | (F.col("a") - F.col("t") < F.col("t") - F.col("b")), F.col("a")).otherwise(F.col("b")).alias("near"))
 

@@ -39,7 +39,7 @@ def interpolated(knots: DataFrame, at: DataFrame, beyond: str = "clamp") -> Data
     both = k.withColumn("asked", F.lit(False)).unionByName(at.select("track", "t", F.lit(True).alias("asked")), allowMissingColumns=True)
     both = both.withColumns({
         "a": F.last("k", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        "b": F.first("k", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
+        "b": F.last("k", ignorenulls=True).over(Window.partitionBy("track").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)),
     }).where("asked")
     ends = {
         "clamp": (F.col("b.v"), F.col("a.v")),

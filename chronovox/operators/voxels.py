@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronovox.operators.checkpoints import stored
+from chronovox.operators import graphs
 
 CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
@@ -45,22 +45,27 @@ def pyramid(image: DataFrame) -> DataFrame:
     return image.groupBy(*[F.floor(F.col(c) / 2).alias(c) for c in "xyz"]).agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
-def components(image: DataFrame, rounds: int = 200) -> DataFrame:
-    """x, y, z, component: the least number of a voxel (in raster order of `number`) that neighbours reach. Labels spread
-    by minimum to the six neighbours, then jump to their label's label, so rounds stay few."""
-    number = F.col("x") * 1_000_000_000_000 + F.col("y") * 1_000_000 + F.col("z")
-    image = image.select("x", "y", "z", number.alias("id"))
-    pairs = spread(image.withColumn("v", F.col("id")), CROSS).join(image, ["x", "y", "z"]).select("id", F.col("v").alias("other"))
-    pairs = stored(pairs)
-    label = stored(image.select("id", F.col("id").alias("c")))
-    for _ in range(rounds):
-        least = pairs.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("c").alias("m"))
-        jump = label.select(F.col("id").alias("m"), F.col("c").alias("j"))
-        new = stored(label.join(least, "id").join(jump, "m").select("id", F.least("c", "m", "j").alias("n"), "c"))
-        label = new.select("id", F.col("n").alias("c"))
-        if new.where("n < c").isEmpty():
-            break
-    return image.join(label, "id").select("x", "y", "z", F.col("c").alias("component"))
+def number() -> Column:
+    """A voxel's number in raster order. It tells voxels apart while y and z stay below 500,000 and x below 9,000,000 on
+    either side of 0; what lies beyond raises an error."""
+    inside = (F.abs("x") < 9_000_000) & (F.abs("y") < 500_000) & (F.abs("z") < 500_000)
+    return F.when(inside, F.col("x") * 1_000_000_000_000 + F.col("y") * 1_000_000 + F.col("z")).otherwise(F.raise_error(F.lit("a voxel lies beyond the numbered range")))
+
+
+def touching(image: DataFrame, among: list[str]) -> DataFrame:
+    """a, b: numbers of voxels that touch by a face and agree in the columns `among`."""
+    ahead = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip("xyz", o, strict=True)]) for o in CROSS if min(o) == 0 < max(o)]))
+    own = image.select("x", "y", "z", *among, number().alias("id"))
+    moved = own.withColumn("o", ahead).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in "xyz"], *among, F.col("id").alias("a"))
+    return moved.join(own, ["x", "y", "z", *among]).select("a", F.col("id").alias("b"))
+
+
+def components(image: DataFrame, among: list[str] | None = None) -> DataFrame:
+    """x, y, z, component: the least number of a voxel that steps between voxels that touch by a face reach, within equal
+    values of the columns `among`. Rounds grow with the logarithm of the voxels."""
+    named = graphs.named_by_least(touching(image, among or []))
+    own = image.select("x", "y", "z", number().alias("node"))
+    return own.join(named, "node", "left").select("x", "y", "z", F.coalesce("component", "node").alias("component"))
 
 
 def block_statistics(image: DataFrame, width: int) -> DataFrame:
