@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronovox.operators.checkpoints import stored
+
 #: A word is a run of code points other than ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -19,16 +19,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronovox-")
-        )
-    return df.checkpoint()
-
-
 def words(text: Column) -> Column:
     """The words of a text, in order; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
@@ -50,10 +40,41 @@ def unit(key: Column, seed: int) -> Column:
 
 def bounded_sample(rows: DataFrame, by: str, key: str, most: int, seed: int = 7) -> DataFrame:
     """About `most` rows, or all if fewer, of each value of `by`: a row stays if a hash of `key` falls below
-    most / count. The number of values of `by` (languages, classes) is small, so their counts are broadcast."""
+    most / count. Spark broadcasts the counts if they are small."""
     share = rows.groupBy(by).agg((F.lit(float(most)) / F.count(F.lit(1))).alias("__share"))
-    return (
-        rows.join(F.broadcast(share), by)
-        .where(unit(F.col(key), seed) < F.col("__share"))
-        .drop("__share")
-    )
+    return rows.join(share, by).where(unit(F.col(key), seed) < F.col("__share")).drop("__share")
+
+
+def in_order(df: DataFrame, order: list[Column], first: dict[str, Column], total: dict[str, Column]) -> DataFrame:
+    """df with running sums and totals, at any number of rows: rows are dealt into ranges of `order`, summed inside each,
+    and the ranges before are added; one row a range meets in a window.
+
+    first: name -> expression whose sum over the rows before is wanted; total: likewise over all rows."""
+    both = first | total
+    n = partitions(df.sparkSession)
+    dealt = stored(df.withColumns({f"__o{k}": c for k, c in enumerate(order)}).repartitionByRange(n, *[F.col(f"__o{k}") for k in range(len(order))]).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__s{k}") for k, c in enumerate(both.values())])
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    place = {name: k for k, name in enumerate(both)}
+    ranges = sums.select("__range", *[F.sum(f"__s{place[name]}").over(ahead).alias(f"__a{place[name]}") for name in first], *[F.sum(f"__s{place[name]}").over(Window.partitionBy()).alias(f"__t{place[name]}") for name in total])
+    inside = Window.partitionBy("__range").orderBy(*[F.col(f"__o{k}") for k in range(len(order))]).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({f"__i{place[name]}": F.sum(c).over(inside) for name, c in first.items()}).join(F.broadcast(ranges), "__range")
+    zero = F.lit(0)
+    return out.select(
+        *df.columns, *[(F.coalesce(f"__a{place[name]}", zero) + F.coalesce(f"__i{place[name]}", zero)).alias(name) for name in first],
+        *[F.col(f"__t{place[name]}").alias(name) for name in total])
+
+
+#: Components of a graph of at most so many edges are solved in one task.
+SMALL = 1 << 16
+
+
+def joined_by_key(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of names, which has one row for every value of `key` and, in `rows`, how many rows have it.
+
+    Values of over a thousandth of all rows are fewer than a thousand: their names are broadcast, so that no task gathers
+    the rows of such a value. The others meet by a shuffle."""
+    total = names.agg(F.sum("rows").alias("n")).collect()[0]["n"] or 0
+    hot = F.broadcast(names.where(F.col("rows") * 1000 > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(names.where(F.col("rows") * 1000 <= total), key)
+    return rows.join(hot, key).unionByName(rest).drop("rows")

@@ -10,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +97,13 @@ class Model:
         return names, scores
 
 
-def train(rows: DataFrame, max_docs: int = 6000, max_languages: int = 512) -> Model:
+def train(rows: DataFrame, max_docs: int = 6000, parts: int = 16) -> Model:
     """rows: doc_id, text, lang. Rows of null text or language don't count.
 
-    About max_docs documents a language are used, those of least hash of the id, in full; all if there are fewer. The
-    model takes max_languages languages, those of most documents, so its size is bounded. Partial counts, one sparse
-    row a partition and language, come to the driver from at most 16 partitions."""
+    About max_docs documents a language are used, those of least hash of the id, in full; all if there are fewer. Every
+    language is learned: the model has one row of BUCKETS numbers each. All documents are scanned where they lie; only the
+    sample, bounded by max_docs a language, is dealt to `parts` tasks, whose counts are added up by language, and the
+    driver gets one sparse row a language."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,15 +124,22 @@ def train(rows: DataFrame, max_docs: int = 6000, max_languages: int = 512) -> Mo
                 ["lang", "docs", "buckets", "counts"],
             )
 
-    sample = bounded_sample(rows, "lang", "doc_id", max_docs).select("text", "lang").coalesce(16)
-    parts = sample.mapInArrow(run, "lang string, docs bigint, buckets binary, counts binary")
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for ids, n in zip(table.column("buckets"), table.column("counts"), strict=True):
+            total[np.frombuffer(ids.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")
+        some = np.flatnonzero(total)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "docs": pa.array([pc.sum(table.column("docs")).as_py()], pa.int64()), "buckets": pa.array([some.astype("<i4").tobytes()]), "counts": pa.array([total[some].tobytes()])})
+
+    schema = "lang string, docs bigint, buckets binary, counts binary"
+    sample = bounded_sample(rows, "lang", "doc_id", max_docs).select("text", "lang").repartition(parts)
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for r in parts.toLocalIterator():
-        total = counts.setdefault(r["lang"], np.zeros(BUCKETS, dtype=np.int64))
-        total[np.frombuffer(r["buckets"], "<i4")] += np.frombuffer(r["counts"], "<i8")
-        docs[r["lang"]] = docs.get(r["lang"], 0) + r["docs"]
-    languages = sorted(sorted(docs, key=lambda x: (-docs[x], x))[:max_languages])
+    for r in sample.mapInArrow(run, schema).groupBy("lang").applyInArrow(added, schema).toLocalIterator():
+        counts[r["lang"]] = total = np.zeros(BUCKETS, dtype=np.int64)
+        total[np.frombuffer(r["buckets"], "<i4")] = np.frombuffer(r["counts"], "<i8")
+        docs[r["lang"]] = r["docs"]
+    languages = sorted(docs)
     return Model(languages, np.array([counts[x] for x in languages]).reshape(len(languages), BUCKETS), np.array([docs[x] for x in languages], dtype=np.float64))
 
 

@@ -3,23 +3,23 @@
 A text's UTF-8 bytes are parsed as LZ78 does: a phrase is the shortest run that isn't a phrase yet. The set of phrases
 is the dictionary that a compressor would build, and texts that compress alike share phrases. A fingerprint holds the
 least hashes of that set (all of them, if there are few), from which the Jaccard likeness of two sets is estimated: of
-the least hashes of the union, the share that both have. The dictionary starts anew after 65,536 phrases, so memory is
-bounded for any text."""
+the least hashes of the union, the share that both have. The dictionary holds all phrases of its text: a text of n bytes
+has some n / log n of them, and a task holds the dictionaries of two texts, never more."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronovox.llm.common import partitions
 
 KEPT = 128
-PHRASES = 1 << 16
 _BASE = 0xD6E8FEB86659FD93
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -59,8 +59,6 @@ class Parse:
                 node = 0
                 tree[at] = (len(tree) + 1) << 8
                 end(i)
-                if len(tree) >= PHRASES:
-                    tree.clear()
         self.node = node
         self.fed += len(data)
 
@@ -127,19 +125,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (range, halo, doc_id, key, tie, text) such that, with each range sorted by halo, then key and tie descending, a
     row's successor in descending order of id stands after it in its range; the rows marked halo only follow, as the
-    first row of the next range. Texts move once. The driver holds the bounds and first rows of the ranges: two numbers a
-    range. Null ids come last; rows of equal id follow by a hash of the text; the last row's successor is the first."""
+    first row of the next range. Texts move once. The driver holds the first rows of the ranges: two numbers each. Null
+    ids come last; rows of equal id follow by a hash of the text, by which many rows of one id are dealt to ranges too;
+    only rows equal in both stay together. The last row's successor is the first."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
     n = 4 * partitions(docs.sparkSession)
-    cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).collect()[0][0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c > F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range", at.cast("int"))
-    heads = sorted((r["range"], r["m"]["key"], r["m"]["tie"]) for r in rows.groupBy("range").agg(F.max(F.struct("key", "tie")).alias("m")).collect())
-    if not heads:
-        return rows.select("range", F.lit(False).alias("halo"), "doc_id", "key", "tie", "text")
-    before = {r: heads[k - 1][0] for k, (r, _, _) in enumerate(heads)}
+    ends = rows.select("key", "tie").repartitionByRange(n, "key", "tie").groupBy(F.spark_partition_id().alias("r")).agg(F.max(F.struct("key", "tie")).alias("m"))
+    heads = [(k, *m) for k, m in enumerate(sorted({tuple(r["m"]) for r in ends.collect()}))]
+    rows = rows.withColumn("range", _place([h[1:] for h in heads]))
+    before = {r: heads[(k + 1) % len(heads)][0] for k, (r, _, _) in enumerate(heads)}  # the next higher range
     first = docs.sparkSession.createDataFrame([(r, k, t, before[r]) for r, k, t in heads], "__range int, __key long, __tie long, __before int")
     head = rows.join(F.broadcast(first), (F.col("range") == F.col("__range")) & (F.col("key") == F.col("__key")) & (F.col("tie") == F.col("__tie")), "left")
     places = F.when(F.col("__before").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("halo")))).otherwise(
@@ -147,6 +142,20 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return head.withColumn("p", F.explode(places)).select("p.range", "p.halo", "doc_id", "key", "tie", "text")
 
 
+def _place(heads: list[tuple[int, int]]) -> Column:
+    """The number of (key, tie) pairs in `heads`, ascending, that are smaller than a row's: found among every so-manieth
+    first, then among those between two of these."""
+    if not heads:
+        return F.lit(0)
+    step = isqrt(len(heads)) + 1
+    pairs = lambda xs: F.array(*[F.struct(F.lit(a).cast("long").alias("key"), F.lit(b).cast("long").alias("tie")) for a, b in xs])
+    own = F.struct("key", "tie")
+    coarse = F.size(F.filter(pairs(heads[step - 1 :: step]), lambda h: h < own)) if len(heads) >= step else F.lit(0)
+    groups = F.array(*[pairs(heads[k : k + step]) for k in range(0, len(heads), step)])
+    fine = F.size(F.filter(F.coalesce(F.get(groups, coarse), F.array().cast("array<struct<key:bigint,tie:bigint>>")), lambda h: h < own))
+    return (coarse * step + fine).cast("int")
+
+
 def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """Each document beside its edited text, whose last floor(n_chars / 2) code points are replaced by as many (or all)
     first ones of the next document in descending order of id; the last one's next is the first.

@@ -37,19 +37,22 @@ _STARTS = "array_distinct(concat(transform(pairs, p -> CAST(shiftright(p, 31) AS
 _COVERED = "CASE WHEN size(pairs) = 0 THEN 0L ELSE CAST(size(array_distinct(concat(starts, transform(starts, p -> p + 1), transform(starts, p -> p + 2)))) AS BIGINT) END"
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: dict[str, str] | None = None) -> DataFrame:
     """doc_id and the statistics of each whole text, as bigint: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words, n_capitals, n_marks.
 
     A null text counts as empty, and all statistics of an empty text are 0. Other columns of docs are left out, so
-    their names don't matter. Repeated rows give repeated rows."""
+    their names don't matter, but for those of `carried` (column -> its name in the result), which go along, so that a
+    decision needs no join to reach its row. Repeated rows give repeated rows."""
+    with_row = [F.col(c).alias(n) for c, n in (carried or {}).items()]
+    own = list((carried or {}).values())
     text = F.coalesce(F.col("__text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     removed = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *with_row)
         .select(
-            "doc_id",
+            "doc_id", *own,
             words(F.col("__text")).alias("w"),
             lines.alias("lines"),
             removed(SYMBOLS + "+").alias("n_symbols"),
@@ -57,7 +60,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             removed("[!?]+").alias("n_marks"),
         )
         .select(
-            "doc_id", "n_symbols", "n_capitals", "n_marks",
+            "doc_id", *own, "n_symbols", "n_capitals", "n_marks",
             F.size("w").cast("bigint").alias("n_words"),
             F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
             F.size("lines").cast("bigint").alias("n_lines"),
@@ -153,18 +156,19 @@ def learn(rows: list[tuple[dict, int]], features: list[str], max_rules: int = 12
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
     """The decision list that predicts labels.quality = 0 among rows that pass the base rules.
 
-    It is fitted on about max_rows labelled rows, half of each label, those of least hash of the id; only their numbers
-    come to the driver. Labels that are null or whose document is missing don't count."""
-    labelled = (
-        stats.where(~base_failed()).join(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality"), "doc_id")
-        .select("doc_id", "quality", *(F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()))
-    )
-    chosen = bounded_sample(labelled, "quality", "doc_id", max_rows // 2).select(F.xxhash64("doc_id").alias("h"), "quality", *FEATURES)
-    rows = [({f: r[f] for f in FEATURES}, int(r["quality"] == 0)) for r in sorted(chosen.collect())]
-    return learn(rows, list(FEATURES), **options)
+    About max_rows labels, half of each value, those of least hash of the id, are drawn before they meet any text: each
+    pair of id and label counts once. This bounded sample is broadcast, only its documents' statistics are computed,
+    and of these the numbers of rows that pass the base rules come to the driver. Labels other than 0 and 1, null ids
+    and labels without a document don't count."""
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    chosen = F.broadcast(bounded_sample(marked, "quality", "doc_id", max_rows // 2))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    stats = statistics(rows, carried={"quality": "quality"}).where(~base_failed())
+    found = stats.select(F.xxhash64("doc_id").alias("h"), "quality", *(F.expr(e).cast("long").alias(f) for f, e in FEATURES.items())).collect()
+    return learn([({f: r[f] for f in FEATURES}, int(r["quality"] == 0)) for r in sorted(found)], list(FEATURES), **options)
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronovox.llm import langid, lzphrases, mixing, quality, sentencepieces, sharding, simhash, substrings, surrogates, toxicity
-from chronovox.llm.common import documents, labels, remainder, stored, words
+from chronovox.llm.common import documents, labels, remainder, words
 
 
 def op1_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of all documents and of their edited texts."""
     return lzphrases.half_edited(documents(spark, sf_dir))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the machine learns from the rows that aren't held out."""
     docs = documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id")) == 2
     machine = toxicity.train(docs, labels(spark, sf_dir).where(~held_out))
@@ -21,27 +23,44 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-#: A deployment passes its own secret; surrogates of different keys have nothing in common.
+#: Where the settings of a session don't name others: the key serves tests and demonstrations only, as whoever reads this
+#: can undo its surrogates. A deployment sets spark.chronovox.key (and calls surrogates.replaced with its own).
 KEY = b"a key that only serves these queries"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.chronovox.key", KEY.decode()).encode()
+
+
+def tokenizer(spark: SparkSession) -> str:
+    """The path of a sentencepiece model, on the driver."""
+    return spark.conf.get("spark.chronovox.tokenizer", TOKENIZER)
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = surrogates.replaced(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+    """All documents with surrogates, and where these stand for what kind of entity; that no two entities of the table
+    share one is checked first."""
+    found = surrogates.replaced(documents(spark, sf_dir).select("doc_id", "text"), surrogate_key(spark))
+    if not (shared := surrogates.collisions(found)).isEmpty():
+        raise RuntimeError(f"entities share surrogates: {shared.limit(5).collect()}")
     return found.select("doc_id", "text", F.size("entities").alias("n_entities"), "entities")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the words of 50-word windows that start in a document of smaller id."""
     return substrings.repeats_removed(documents(spark, sf_dir), window=50).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepieces.coded(documents(spark, sf_dir), sentencepieces.Vocabulary.load(TOKENIZER))
+    """Token ids of all documents and the hash of what they decode to."""
+    found = sentencepieces.coded(documents(spark, sf_dir), sentencepieces.Vocabulary.load(tokenizer(spark)))
     return found.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 24 shards by the law `rows`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -50,14 +69,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = stored(quality.statistics(documents(spark, sf_dir)))
-    rules = quality.fit(stats, labels(spark, sf_dir))
-    return stats.select(
+    """Base statistics of all documents, the base rules, and the learned list's verdict."""
+    docs = documents(spark, sf_dir)
+    rules = quality.fit(docs, labels(spark, sf_dir))
+    return quality.statistics(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.base_failed().alias("base_failed"), quality.verdict(rules).alias("kept"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents; the model learns from those that aren't held out."""
     docs = documents(spark, sf_dir)
     model = langid.train(langid.training_rows(docs))
     return langid.identify(docs, model).select(
@@ -65,10 +86,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
     rows = documents(spark, sf_dir).select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     return mixing.mixed(rows, [5, 2, 1], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 

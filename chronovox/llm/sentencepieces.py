@@ -76,13 +76,48 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """From a model file. The library reads the vocabulary only; it takes no part in encoding."""
+        """From the file of a BPE model that leaves texts as they are (no normalization, spaces kept). Others raise an
+        error, as merging would give other ids. The library reads the vocabulary only; it takes no part in encoding."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = {k: dict(_fields(v)) for k, v in _fields(sp.serialized_model_proto()) if k in (2, 3)}
+        trainer, normalizer = spec.get(2, {}), spec.get(3, {})
+        # The format's field numbers, and its defaults where a field is absent.
+        if trainer.get(3, 1) != 2:
+            raise ValueError(f"{path}: not a BPE model")
+        if normalizer.get(2, b"") or normalizer.get(4, 1):
+            raise ValueError(f"{path}: the model normalizes texts")
+        if trainer.get(24, 0) or not normalizer.get(5, 1):
+            raise ValueError(f"{path}: spaces are suffixes or not escaped")
         n = sp.get_piece_size()
         kind = lambda i: "byte" if sp.is_byte(i) else "other" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "normal"
-        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)], sp.unk_id())
+        return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], [kind(i) for i in range(n)], sp.unk_id(), bool(normalizer.get(3, 1)))
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a message in the wire format of protocol buffers."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(message):
+        field, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield field, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield field, message[at : at + size]
+            at += size
 
 
 def _keys(codes: np.ndarray) -> np.ndarray:

@@ -10,10 +10,10 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import partitions, stored
+from chronovox.llm.common import in_order
 
 ROUNDS = 6
 _PRIME = (1 << 31) - 1
@@ -77,17 +77,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> tuple
     """df with global row numbers from 0 in the given order, and the number of rows.
 
     Rows are dealt into ranges of the order, numbered inside each, and shifted by the rows of the ranges before; no task
-    sees more than its range, and the driver sees one count a range. Rows equal in all of `order` may swap numbers."""
-    n = partitions(df.sparkSession)
-    dealt = stored(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
-    counts = sorted(map(tuple, dealt.groupBy("__range").count().collect()))
-    before, total = {}, 0
-    for k, count in counts:
-        before[k] = total
-        total += count
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__range")) if before else F.lit(0)
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return dealt.withColumn(name, start.cast("long") + inside - 1).drop("__range"), total
+    sees more than its range, and the driver sees one number. Rows equal in all of `order` are dealt by their place in
+    the input, so that any number of them spreads over ranges; they may swap numbers."""
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    total = df.count()
+    return in_order(placed, [*map(F.col, order), F.col("__place")], {name: F.lit(1)}, {}).drop("__place").withColumn(name, F.col(name).cast("long")), total
 
 
 def shuffled_shards(df: DataFrame, shards: int, order: list[str], seed: int = 0) -> DataFrame:
@@ -95,7 +89,7 @@ def shuffled_shards(df: DataFrame, shards: int, order: list[str], seed: int = 0)
 
     `order` must tell rows apart for the result to be reproducible; rows equal in all of it are interchangeable. Nulls
     come first in the order. An empty table gives an empty one. One key with a third of all rows does no harm: places
-    depend on row numbers only."""
+    depend on row numbers only, and rows are dealt by the order and, where that is equal, by their place."""
     if shards < 1:
         raise ValueError("at least one shard")
     rows, total = numbered(df, order)

@@ -2,7 +2,8 @@
 
 Fingerprints are compared without meeting all pairs: 64 bits are cut into five blocks, and two fingerprints within
 three bits agree in two blocks at least, so each distinct fingerprint goes to ten buckets (two blocks each, about 25
-bits). In a bucket, the fingerprints' bits stand in vertical planes, 64 fingerprints to a word; a fingerprint meets 64
+bits). More fingerprints are cut into more blocks, of which more must agree: buckets' keys grow with the data (six
+blocks: 20 buckets of 32 bits; seven: 35 of 36; eight: 56 of 40), and no cut misses a pair. In a bucket, the fingerprints' bits stand in vertical planes, 64 fingerprints to a word; a fingerprint meets 64
 others at a time by carry-save counters over the planes, and leaves a word as soon as all in it exceed the radius.
 
 Equal fingerprints are one row beforehand. A bucket of more than `block` rows is cut into blocks that meet in pairs, so
@@ -19,12 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import partitions, stored
+from chronovox.llm.common import SMALL, joined_by_key, partitions, stored
+from chronovox.operators.graphs import components
 
 RADIUS = 3
 BLOCK = 2048
-#: Five blocks of bits: offset and width.
-CUTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: The number of blocks of bits, for up to so many distinct fingerprints.
+BLOCKS = ((5, 1 << 24), (6, 1 << 30), (7, 1 << 34), (8, None))
+
+
+def cuts(blocks: int) -> list[tuple[int, int]]:
+    """Offset and width of each block of the 64 bits."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def fingerprint(text: str | None) -> int:
@@ -118,14 +126,18 @@ def linked(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> np.ndarr
         word = word + 1
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, blocks: int | None = None) -> DataFrame:
     """a, b (bigint): for fingerprints in `fp`, distinct, links that connect all within three bits; b is the root of
-    its piece, not always a neighbour of a."""
-    u = "fp"
+    its piece, not always a neighbour of a. `blocks` follows from their number if it isn't given."""
+    if blocks is None:
+        n = distinct.count()
+        blocks = next(k for k, most in BLOCKS if most is None or n <= most)
     keys = []
-    for t, (i, j) in enumerate(combinations(CUTS, 2)):
-        cut = lambda c: f"(shiftrightunsigned({u}, {c[0]}) & {(1 << c[1]) - 1}L)"
-        keys.append(f"({t}L * 67108864L + {cut(i)} * 8192L + {cut(j)})")
+    for t, agree in enumerate(combinations(cuts(blocks), blocks - RADIUS)):
+        key = f"{t}L"
+        for at, width in agree:
+            key = f"({key} * {1 << width}L + (shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L))"
+        keys.append(key)
     spread = distinct.select("fp", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
     sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     pieces = F.expr(f"CAST(ceil(n / {block}) AS INT)")
@@ -163,45 +175,16 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: for every end of an edge (a, b: bigint), a member of its component that all its members share.
-
-    Rounds of contraction: each node joins the neighbour of least hash, or stays if its own is the least; edges are
-    mapped to the joined nodes and deduplicated; then the rounds' maps are followed back. Hashes differ from round to
-    round, so a fixed share of the nodes is expected to go in each, however they are linked. A node with very many
-    neighbours is one row of a pre-aggregated minimum."""
-    maps = []
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
-        to = stored(both.groupBy("node").agg(F.min(ranked("to")).alias("m")).select("node", F.least(F.col("m"), ranked("node"))["x"].alias("to")))
-        maps.append(to)
-        left = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
-        right = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = stored(
-            edges.join(left, "a").join(right, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps.pop().withColumnRenamed("to", "root")
-    while maps:
-        after = out.select(F.col("node").alias("to"), "root")
-        out = stored(maps.pop().join(after, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id that links of three bits or fewer reach.
 
     Null and empty texts have fingerprint zero and link like any other. A row with a null id belongs to a component but
     is never its least id, unless all its ids are null. Repeated rows come out repeated. Other columns are left out."""
     found = stored(fingerprints(docs, id_col, text_col))
-    distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = components(links(distinct.select("fp"), block))
-    classes = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    root = components(links(distinct.select("fp"), block), SMALL)
+    classes = distinct.join(root, distinct.fp == root.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     classes = stored(classes)
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(lowest, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(classes.join(lowest, "root").select("fp", "component_id", "rows"))
+    return joined_by_key(found, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

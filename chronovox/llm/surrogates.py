@@ -2,10 +2,13 @@
 
 Detected entities are replaced by surrogates of the same type, shape, script and gender. A surrogate is the entity's
 image under a keyed permutation of all strings of its shape (a Feistel network over mixed radices, one digit or letter
-class a place), or of a list of names of one gender; so equal entities get equal surrogates in every document
+class a place), or of a list of names of one script and gender; so equal entities get equal surrogates in every document
 (coreference) and different ones never the same (distinctness), without any table of what was seen. What identifies an
 entity is permuted, not how it's written: the case of letters and the punctuation of numbers stay, so two spellings of
-one number stay two spellings of one surrogate. Each batch checks its surrogates for collisions all the same."""
+one number stay two spellings of one surrogate. Check digits stay right: cards by Luhn, IBANs by 97.
+
+A name's gender is that of its list, or told by its ending, which a surrogate keeps. Titles stay in the text.
+Each task checks the surrogates of its rows for collisions, collisions() those of a whole table."""
 
 from __future__ import annotations
 
@@ -19,17 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Given names by gender, as surrogates and to tell a name's gender.
+# Given names by script and gender, as surrogates and to tell a name's gender.
 NAMES = {
-    "f": """Alice Amelia Anna Beatrice Carla Caroline Charlotte Clara Diana Elena Elizabeth Emily Emma Eva Frances Grace
-        Hannah Helen Ingrid Isabel Jane Julia Karen Laura Linda Lucy Margaret Maria Martha Mary Natalie Nora Olivia
-        Patricia Paula Rachel Rebecca Rosa Sarah Sophie Susan Teresa Ursula Victoria""".split(),
-    "m": """Adam Albert Alexander Andrew Anthony Benjamin Carlos Charles Daniel David Edward Eric Frank Frederick George
-        Henry Hugo Jack James John Joseph Julian Karl Lewis Luke Mark Martin Matthew Michael Nicholas Oliver Oscar Patrick
-        Paul Peter Philip Richard Robert Samuel Simon Stephen Thomas Victor William""".split(),
+    "latin f": """Agnes Alice Amelia Anna Astrid Barbara Beatrice Birgit Carla Carmen Caroline Charlotte Chiara Clara Diana Elena
+        Elizabeth Emily Emma Eva Fatima Frances Giulia Grace Hannah Heike Helen Ingrid Irina Isabel Jane Julia Karen Laura
+        Linda Lucy Margaret Maria Martha Mary Monika Natalie Nora Olga Olivia Patricia Paula Petra Rachel Rebecca Rosa Sabine
+        Sarah Sophie Susan Tatiana Teresa Ursula Victoria Yvonne""".split(),
+    "latin m": """Adam Ahmed Albert Alexander Andrew Anthony Antonio Benjamin Bruno Carlos Charles Daniel David Diego Edward Eric
+        Fernando Frank Frederick George Hans Harold Henry Hugo Ivan Jack James Javier John Joseph Julian Karl Klaus Lewis Luke
+        Mark Martin Matthew Michael Mohamed Nicholas Oliver Oscar Otto Patrick Paul Pedro Peter Philip Pierre Richard Robert
+        Samuel Simon Stefan Stephen Thomas Victor William Wolfgang""".split(),
+    "cyrillic f": "Анна Валентина Вера Дарья Екатерина Елена Ирина Ксения Любовь Мария Надежда Наталья Ольга Светлана Татьяна".split(),
+    "cyrillic m": "Александр Андрей Борис Виктор Владимир Дмитрий Иван Кирилл Максим Михаил Николай Олег Павел Сергей Юрий".split(),
+    "greek f": "Άννα Αικατερίνη Γεωργία Δήμητρα Ειρήνη Ελένη Ευαγγελία Κωνσταντίνα Μαρία Σοφία".split(),
+    "greek m": "Αθανάσιος Αλέξανδρος Ανδρέας Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Μιχαήλ Νικόλαος Παναγιώτης".split(),
 }
-# Titles and the gender that they tell, if any.
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
+# Endings that tell a name's gender; surrogates of names in no list keep them.
+ENDINGS = tuple("""ovna evna ovich evich skaya skaia skiy sky ska ski ova eva ina ova yova dottir sdottir sson овна евна ович евич ская ский
+    ова ева ина ов ев ин оглу ίδου ίδης άκης πούλου πουλος a o а я""".split())
+# Titles.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Dr", "Prof")
 INTRODUCTIONS = ("my name is ", "My name is ", "je m'appelle ", "Je m'appelle ", "ich heiße ", "Ich heiße ", "me llamo ", "Me llamo ")
 # Domains that are reserved for examples stay as they are.
 RESERVED = ("example.com", "example.org", "example.net", "example.edu")
@@ -41,16 +53,19 @@ _span = lambda a, b: "".join(map(chr, range(a, b + 1)))
 _SCRIPTS = [_span(0x3B1, 0x3C1) + _span(0x3C3, 0x3C9), _span(0x430, 0x44F), _span(0x5D0, 0x5EA), _span(0x627, 0x63A), _span(0x905, 0x939), _span(0x3041, 0x3096), _span(0x30A1, 0x30FA), _span(0xAC00, 0xD7A3), _span(0x4E00, 0x9FFF), "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"]
 
 _TOKENS = re.compile(r"[\d@]")
+_NAMED = r"(?:api[ _-]?key|access[ _-]?key|secret|token|password|passwd|pwd)"
 _PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z])")),
     ("secret", re.compile(r"(?i)(?<=[:=] )[\"'](?=[^\"']*\d)[0-9a-z_+/=.-]{16,}[\"']|(?<=[:=])[\"'](?=[^\"']*\d)[0-9a-z_+/=.-]{16,}[\"']")),
+    ("secret", re.compile(r"(?i)(?<![0-9A-Za-z])" + _NAMED + r"(?: ?= ?|: ?)(?P<v>[^\s\"',;<>()]{8,})")),
     ("card", re.compile(r"(?<![\d.,+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d|[.,-]\d)")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("phone", re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")),
+    ("phone", re.compile(r"(?i)(?<![0-9A-Za-z])(?:tel|phone|mobile|fax)(?:\.:|[.:])? ?(?P<v>\d{2,4}(?: \d{2,4}){2,4})(?!\d)")),
 ]
 _WORD = r"[^\W\d_a-zß-öø-ÿ](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")(\.? )(" + _WORD + r"(?: (?:" + _WORD + r")){0,2})")
@@ -102,7 +117,7 @@ class Permutations:
         own = [next((a for a in alphabets if c in a), None) for c in lower]
         shape = "".join("*" if a else c for a, c in zip(own, lower, strict=True))
         now = lower
-        for _ in range(64):
+        while True:  # the cycle comes back to the text itself, so it ends
             images = iter(self.places([a.index(c) for a, c in zip(own, now, strict=True) if a], [len(a) for a in own if a], f"{tweak}|{shape}"))
             now = [a[next(images)] if a else c for a, c in zip(own, now, strict=True)]
             if allowed("".join(now)):
@@ -119,6 +134,16 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def checked(iban: str) -> bool:
+    """Whether the check digits of an IBAN (without spaces) are right; those are 02 to 98."""
+    return 2 <= int(iban[2:4]) <= 98 and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def ending(name: str) -> str:
+    """The longest of ENDINGS that a name has behind two letters at least; none if it has none."""
+    return max((e for e in ENDINGS if name.endswith(e) and len(name) >= len(e) + 2), key=len, default="")
+
+
 class Surrogates:
     """Finds entities in a text and makes their surrogates."""
 
@@ -127,6 +152,7 @@ class Surrogates:
             raise ValueError("a key is needed")
         self.p = Permutations(key)
         self.gender = {n.lower(): g for g, names in NAMES.items() for n in names}
+        self.seen: dict[tuple[str, str], str] = {}
         self.surrogate = lru_cache(1 << 16)(self._surrogate)
 
     def _digits(self, text: str, new: str) -> str:
@@ -162,7 +188,7 @@ class Surrogates:
         if kind == "ssn":
             return self._digits(text, p.string(text.replace("-", ""), [_DIGITS], "ssn"))
         if kind == "iban":
-            return text[:2] + self._digits_letters(text[2:])
+            return self._iban(text)
         if kind == "secret":
             bare = text.strip("\"'").lower()
             return p.string(text, [_HEX] if not bare.strip(_HEX) else [_LATIN, _DIGITS], "secret")
@@ -170,12 +196,22 @@ class Surrogates:
         if known := self.gender.get(name):
             new = p.listed(text.title() if text.title() in NAMES[known] else next(n for n in NAMES[known] if n.lower() == name), NAMES[known], "name")
             return new.upper() if text.isupper() else new
-        # A name of no list gets letters of its own kinds, so its ending, which may tell a gender, stays a vowel or not.
-        return p.string(text, [_VOWELS, _CONSONANTS, *_SCRIPTS], "name", lambda s: s not in self.gender)
+        # A name of no list gets letters of its own kinds before the ending that may tell its gender.
+        tail = ending(name)
+        stem = text[: len(text) - len(tail)]
+        new = p.string(stem, [_VOWELS, _CONSONANTS, *_SCRIPTS], f"name|{tail}", lambda x: ending(x + tail) == tail and x + tail not in self.gender)
+        return new + text[len(stem) :]
 
-    def _digits_letters(self, text: str) -> str:
+    def _iban(self, text: str) -> str:
+        """Country and shape stay. Of an IBAN with right check digits, the rest is permuted and gets its own right ones;
+        others are permuted among themselves."""
         bare = text.replace(" ", "")
-        it = iter(self.p.string(bare, [_DIGITS, _LATIN], "iban"))
+        if checked(bare):
+            rest = self.p.string(bare[4:], [_DIGITS, _LATIN], "iban").upper()
+            new = f"{98 - int(''.join(str(int(c, 36)) for c in rest + bare[:2] + '00')) % 97:02d}{rest}"
+        else:
+            new = self.p.string(bare[2:], [_DIGITS, _LATIN], f"iban|{bare[:2]}", lambda x: not checked(bare[:2] + x.upper())).upper()
+        it = iter(bare[:2] + new)
         return "".join(c if c == " " else next(it) for c in text)
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
@@ -193,9 +229,13 @@ class Surrogates:
                 if kind == "email" and "@" not in text or kind == "ssn" and "-" not in text:
                     continue
                 for m in pattern.finditer(text):
-                    if kind == "secret" and not (re.search(r"\d", m[0]) and re.search(r"[A-Za-z]", m[0])):
+                    a, b = m.span("v" if "v" in pattern.groupindex else 0)
+                    own = text[a:b]
+                    if kind == "secret" and not (re.search(r"\d", own) and re.search(r"[A-Za-z]", own)):
                         continue
-                    add(*m.span(), kind)
+                    if kind == "card" and own.isdigit() and not luhn(own):
+                        continue  # a long number that is no card's
+                    add(a, b, kind)
         named: set[str] = set()
         for pattern, group in ((_TITLED, 3), (_INTRODUCED, 1)):
             if any(t in text for t in (TITLES if pattern is _TITLED else INTRODUCTIONS)):
@@ -208,31 +248,44 @@ class Surrogates:
                 add(*m.span(), "name")
         return sorted(found)
 
+    def entity(self, kind: str, text: str) -> str:
+        """A keyed digest that tells entities apart without telling what they are."""
+        return hashlib.blake2b(f"{kind}|{text}".encode("utf-8", "surrogatepass"), key=self.p.key[:64], digest_size=8).hexdigest()
+
     def replace(self, text: str | None) -> tuple[str | None, list[dict]]:
         """The text with surrogates, and the entities' places in the original. Raises if two entities of one type came
-        to share a surrogate within the text; the permutations rule that out."""
+        to share a surrogate, in this text or in earlier ones (of which the last 200,000 entities count); the
+        permutations rule that out."""
         if not text:
             return text, []
         out, spans, last = [], [], 0
-        back: dict[tuple[str, str], str] = {}
         for a, b, kind in self.find(text):
             new = self.surrogate(kind, text[a:b])
-            if back.setdefault((kind, new), text[a:b]) != text[a:b]:
+            if len(self.seen) >= 200_000:
+                self.seen.clear()
+            if self.seen.setdefault((kind, new), text[a:b]) != text[a:b]:
                 raise RuntimeError(f"two entities of type {kind} share a surrogate")
             out += [text[last:a], new]
-            spans.append({"start": a, "end": b, "kind": kind, "surrogate": new})
+            spans.append({"start": a, "end": b, "kind": kind, "surrogate": new, "entity": self.entity(kind, text[a:b])})
             last = b
         return "".join([*out, text[last:]]), spans
 
 
+def collisions(found: DataFrame) -> DataFrame:
+    """kind, surrogate, n: surrogates that n > 1 different entities share in the column `entities` of a whole table, of
+    which there should be none. Equal entities are one row before the shuffle."""
+    each = found.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.entity").distinct()
+    return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, the text column with surrogates, and entities: array of (start, end, kind, surrogate), start
-    and end in code points of the original. An existing column named entities is overwritten.
+    """All columns of docs, the text column with surrogates, and entities: array of (start, end, kind, surrogate, entity),
+    start and end in code points of the original, entity a keyed digest of it. An existing column named entities is overwritten.
 
     A null text stays null, and texts without entities stay as they are, to the byte. Entities inside very long texts
     are found like any other. Repeated rows come out repeated, with equal surrogates."""
-    kind = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
-    schema = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())])))])
+    kind = "array<struct<start:int,end:int,kind:string,surrogate:string,entity:string>>"
+    schema = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string()), ("entity", pa.string())])))])
     @F.arrow_udf(f"struct<text:string,entities:{kind}>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         maker = Surrogates(key)

@@ -2,14 +2,17 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x the damped count of a term. The pairwise part
 learns what an additive model misses: that an insult beside a group's mention, or a second insult, weighs more than
-either alone. Terms are hashed; only buckets whose document frequency differs between the labels get parameters, so the
-model's size is fixed."""
+either alone. Terms are words and their stems (first letters, as many as STEMS says), so that inflected and compounded
+forms of a marking word count together. Terms are hashed. Buckets get parameters if their document frequency differs
+between the labels by a few standard errors: a weak screen, which a term that matters only beside another passes too, as
+it stands more often where both are."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +20,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import bounded_sample
+from chronovox.llm.common import bounded_sample, stored
 
 BUCKETS = 1 << 20
+STEMS = (3, 4, 5, 6, 7)
 _TERM = re.compile(r"[^\W_]+")
 
 
+@lru_cache(1 << 17)
+def _buckets(word: str) -> tuple[int, ...]:
+    """Of a word and its stems. No word holds the mark of a stem."""
+    forms = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+    return tuple(xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 11) % BUCKETS for f in forms)
+
+
 def terms(text: str | None) -> dict[int, int]:
     """Bucket -> count over the whole text."""
     out: dict[int, int] = {}
     for word, n in Counter(_TERM.findall((text or "").lower())).items():
-        k = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11) % BUCKETS
-        out[k] = out.get(k, 0) + n
+        for k in _buckets(word):
+            out[k] = out.get(k, 0) + n
     return out
 
 
@@ -47,8 +58,9 @@ class Machine:
 
     def __init__(self, buckets: np.ndarray, factors: int, seed: int = 1):
         self.buckets = buckets
-        self.index = np.full(BUCKETS, -1, dtype=np.int16)
+        self.index = np.full(BUCKETS, -1, dtype=np.int32)
         self.index[buckets] = np.arange(len(buckets))
+        self.known: dict[str, tuple[int, ...]] = {}
         rng = np.random.Generator(np.random.PCG64(seed))
         self.w0 = 0.0
         self.w = np.zeros(len(buckets) + 1)
@@ -74,12 +86,25 @@ class Machine:
         pairs = 0.5 * (np.square(sums).sum(axis=1) - np.add.reduceat(np.square(xv).sum(axis=1), offsets))
         return self.w0 + np.add.reduceat(self.w[which] * value, offsets) + pairs, sums
 
+    def terms(self, text: str | None) -> dict[int, int]:
+        """Those of terms() that have parameters. What words came to is kept for a while."""
+        out: dict[int, int] = {}
+        for word, n in Counter(_TERM.findall((text or "").lower())).items():
+            own = self.known.get(word)
+            if own is None:
+                if len(self.known) >= 1 << 18:
+                    self.known.clear()
+                own = self.known[word] = tuple(k for k in _buckets(word) if self.index[k] >= 0)
+            for k in own:
+                out[k] = out.get(k, 0) + n
+        return out
+
     def score(self, docs: list[dict[int, int]]) -> np.ndarray:
         if not docs:
             return np.zeros(0)
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(*self.features([bag(d) for d in docs]))[0], -30, 30)))
 
-    def fit(self, bags: list[Bag], y: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 2e-3, batch: int = 256, seed: int = 2) -> None:
+    def fit(self, bags: list[Bag], y: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 2e-3, batch: int = 256, seed: int = 2) -> None:
         """Adagrad on the log loss, with decaying parameters."""
         offsets, which, value = self.features(bags)
         ends = np.r_[offsets[1:], len(which)]
@@ -113,30 +138,29 @@ class Machine:
                 self.w0 -= rate * d0 / np.sqrt(gw0)
 
 
-def _screened(bags: list[Bag], y: np.ndarray, most: int, least_z: float) -> np.ndarray:
-    """Buckets whose document frequency differs between the labels by least_z standard errors, at most `most`."""
-    frequency = np.zeros((2, BUCKETS))
-    for (ids, _), label in zip(bags, y, strict=True):
-        frequency[int(label), ids] += 1
-    n = np.array([[max(1, (y == 0).sum())], [max(1, (y == 1).sum())]])
-    p = frequency / n
-    pooled = frequency.sum(axis=0) / n.sum()
-    z = np.abs(p[1] - p[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
-    z[frequency.sum(axis=0) < 4] = 0
-    chosen = np.argsort(-z, kind="stable")[:most]
-    return np.sort(chosen[z[chosen] >= least_z])
+def _differing(bags: DataFrame, n: dict[int, int], least_z: float) -> np.ndarray:
+    """Buckets whose document frequency differs between the labels by least_z standard errors, in 4 documents at least;
+    none without both labels."""
+    if not n.get(0) or not n.get(1):
+        return np.zeros(0, dtype=np.int64)
+    counts = bags.select("toxic", F.explode("buckets").alias("k")).groupBy("k").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
+    pooled = F.col("all") / float(n[0] + n[1])
+    gap = F.abs(F.col("bad") / float(n[1]) - (F.col("all") - F.col("bad")) / float(n[0]))
+    z = gap / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
+    return np.array(sorted(r["k"] for r in counts.where((F.col("all") >= 4) & (z >= least_z)).select("k").collect()), dtype=np.int64)
 
 
-def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_000, max_terms: int = 4096, least_z: float = 6.0, factors: int = 8) -> Machine:
-    """rows: doc_id, text; labels: doc_id, toxic (0 or 1). Without labels, rows has toxic too. Rows of null label don't
-    count, nor, with labels, null ids; a null text is empty.
+def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_000, least_z: float = 3.0, factors: int = 8) -> Machine:
+    """rows: doc_id, text; labels: doc_id, toxic. Without labels, rows has toxic too. Rows whose toxic is neither 0 nor 1
+    don't count, nor, with labels, null ids; a null text is empty.
 
     About max_rows labelled rows of each label are used, those of least hash of the id, in full; all if there are
     fewer. With labels, these are sampled before they meet any text: each pair of id and label counts once, so at most
     about 2 * max_rows pairs are broadcast at any size, and texts are scanned where they lie. Copies count once: of
-    rows whose terms and counts all agree, one of each label stays. The intercept is moved from the sample's share of
-    label 1 to that of all labels. Without both labels the score is a constant."""
-    marked = (rows if labels is None else labels).where("toxic IS NOT NULL").withColumn("toxic", F.col("toxic").cast("int"))
+    rows whose terms and counts all agree, one of each label stays. Terms stay on the executors; the driver gets the
+    buckets that pass the screen (at most BUCKETS numbers), and of each sampled row its counts in these. The intercept is
+    moved from the sample's share of label 1 to that of all labels. Without both labels the score is a constant."""
+    marked = (rows if labels is None else labels).where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     if labels is not None:
         marked = marked.where("doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
     share = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -145,26 +169,31 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
         for b in batches:
             for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 ids, n = bag(terms(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([ids.tobytes()]), pa.array([n.tobytes()])], ["toxic", "buckets", "counts"])
+                same = xxhash.xxh128_digest(ids.tobytes() + n.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([same]), pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], ["toxic", "same", "buckets", "counts"])
 
     sample = bounded_sample(marked, "toxic", "doc_id", max_rows)
     if labels is not None:
         sample = rows.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, buckets binary, counts binary")
-    bags, y, seen = [], [], set()
-    for label, buckets, counts in sorted(map(tuple, found.collect())):
-        ids = np.frombuffer(buckets, "<i4")
-        key = (label, bytes(buckets), bytes(counts))
-        if key not in seen:
-            seen.add(key)
-            bags.append((ids, np.frombuffer(counts, "<i4")))
-            y.append(label)
-    y = np.array(y, dtype=np.float64)
-    machine = Machine(_screened(bags, y, max_terms, least_z) if bags else np.zeros(0, dtype=np.int64), factors)
-    if bags:
-        machine.fit(bags, y)
+    bags = sample.select("text", "toxic").mapInArrow(run, "toxic int, same binary, buckets array<int>, counts array<int>")
+    bags = stored(bags.dropDuplicates(["toxic", "same"]))
+    n = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
+    machine = Machine(_differing(bags, n, least_z), factors)
+    shared = rows.sparkSession.sparkContext.broadcast(machine.index)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, same, ids, counts in zip(*[b.column(k) for k in range(4)], strict=True):
+                ids, counts = (np.asarray(x.values, dtype="<i4") for x in (ids, counts))
+                some = shared.value[ids] >= 0
+                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([same.as_py()]), pa.array([ids[some].tobytes()]), pa.array([counts[some].tobytes()])], ["toxic", "same", "buckets", "counts"])
+
+    found = sorted(map(tuple, bags.mapInArrow(known, "toxic int, same binary, buckets binary, counts binary").collect()))
+    y = np.array([r[0] for r in found], dtype=np.float64)
+    if len(machine.buckets):
+        machine.fit([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in found], y)
     odds = lambda a, b: np.log((a + 1) / (b + 1))
-    machine.w0 += odds(share.get(1, 0), share.get(0, 0)) - odds(y.sum(), len(y) - y.sum())
+    machine.w0 += odds(share.get(1, 0), share.get(0, 0)) - odds(n.get(1, 0), n.get(0, 0))
     return machine
 
 
@@ -176,7 +205,7 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = shared.value.score([terms(t.as_py()) for t in b.column(1)])
+            score = shared.value.score([shared.value.terms(t.as_py()) for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")

@@ -5,7 +5,7 @@ from test_operators import brute_fingerprint, split
 
 import corpus_pipeline as pipeline
 from chronovox.llm import sentencepieces, surrogates
-from chronovox.llm.queries import KEY
+from chronovox.llm.queries import KEY, TOKENIZER
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     copies = collections.Counter(r["doc_id"] for r in four)
     assert max(copies.values()) <= 2 and set(copies) <= {r["doc_id"] for r in three}
     five = pipeline.sentencepiece_ids(spark, spark.createDataFrame(four, SCHEMA), str(tmp_path)).collect()
-    d = sentencepieces.Decoder(sentencepieces.Vocabulary.load(pipeline.TOKENIZER))
+    d = sentencepieces.Decoder(sentencepieces.Vocabulary.load(TOKENIZER))
     assert collections.Counter(d.decode(r["ids"]) for r in five) == collections.Counter(r["text"] for r in four)
     assert pipeline.run(spark, str(tmp_path)).count() == len(five)
 
