@@ -26,6 +26,8 @@ FEATURES = {
     "marks": "n_marks * 1000 div greatest(n_words, 1)",
 }
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_marks")
+
 # Windows of three words are 64-bit hashes whose low bits give way to the window's position; after a sort, equal hashes
 # stand side by side, and the words' own hashes confirm them.
 _WINDOWS = "CASE WHEN n_words >= 3 THEN transform(sequence(0, n_words - 3), i -> (xxhash64(h[i], h[i + 1], h[i + 2]) & keep) | i) ELSE array() END"
@@ -72,7 +74,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("pairs", F.expr(_PAIRS))
         .withColumn("starts", F.expr(_STARTS))
         .withColumn("n_repeat_words", F.expr(_COVERED))
-        .drop("h", "keep", "sorted", "pairs", "starts")
+        .select("doc_id", *own, F.explode(F.array(F.struct(*STATISTICS))).alias("s"))
+        .select("doc_id", *own, "s.*")  # conditions on statistics stay behind the generator: nothing is computed twice
     )
 
 
