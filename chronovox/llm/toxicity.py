@@ -27,7 +27,7 @@ STEMS = (3, 4, 5, 6, 7)
 _TERM = re.compile(r"[^\W_]+")
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 15)
 def _buckets(word: str) -> tuple[int, ...]:
     """Of a word and its stems. No word holds the mark of a stem."""
     forms = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
@@ -92,7 +92,7 @@ class Machine:
         for word, n in Counter(_TERM.findall((text or "").lower())).items():
             own = self.known.get(word)
             if own is None:
-                if len(self.known) >= 1 << 18:
+                if len(self.known) >= 1 << 16:
                     self.known.clear()
                 own = self.known[word] = tuple(k for k in _buckets(word) if self.index[k] >= 0)
             for k in own:
@@ -205,7 +205,9 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = shared.value.score([shared.value.terms(t.as_py()) for t in b.column(1)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
+            for k in range(0, b.num_rows, 1000):
+                own = b.slice(k, 1000)
+                score = shared.value.score([shared.value.terms(t.as_py()) for t in own.column(1)])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
