@@ -383,4 +383,5 @@ def landmark_assignment(spark: SparkSession, d: str) -> DataFrame:
 #: SQL can't express it; tests compare it with all permutations.
 QUERIES["landmark_assignment"] = landmark_assignment
 
-from chronovox.plans import wider as _wider  # noqa: E402, F401
+from chronovox.plans import wider as _wider  # noqa: E402, F401, I001
+from chronovox.plans import further as _further  # noqa: E402, F401

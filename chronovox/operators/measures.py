@@ -179,20 +179,21 @@ def phase_translation(images: DataFrame) -> DataFrame:
         p, q = (c for c in PLACE if c != axis)
         own = images.groupBy("t", F.col(p).alias("p"), F.col(q).alias("q")).agg(F.max("v").alias("v")).withColumn("axis", F.lit(k))
         planes = own if planes is None else planes.unionByName(own)
-    after = planes.withColumn("t", F.col("t") - 1)
+    # Names of its own, lest the two sides of one table be taken for the same columns.
+    after = planes.select((F.col("t") - 1).alias("__t"), F.col("axis").alias("__axis"), F.col("p").alias("__p"), F.col("q").alias("__q"), F.col("v").alias("__v"))
 
     def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"t": [], "axis": [], "p": [], "q": []})
-        p, q = _shift(a, b)
+        p, q = _shift(a, b.rename(columns=lambda c: c.removeprefix("__")))
         return pd.DataFrame({"t": [key[0]], "axis": [key[1]], "p": [p], "q": [q]})
 
     kind = images.schema["t"].dataType.simpleString()
-    found = planes.groupBy("t", "axis").cogroup(after.groupBy("t", "axis")).applyInPandas(solve, f"t {kind}, axis int, p double, q double")
+    found = planes.groupBy("t", "axis").cogroup(after.groupBy("__t", "__axis")).applyInPandas(solve, f"t {kind}, axis int, p double, q double")
     # The axes that p and q stand for, by the axis that the projection takes away.
     seen = {"x": {1: "p", 2: "p"}, "y": {0: "p", 2: "q"}, "z": {0: "q", 1: "q"}}
     way = lambda c: F.sum(sum((F.when(F.col("axis") == k, F.col(own)).otherwise(0.0) for k, own in seen[c].items()), F.lit(0.0)))
-    return found.groupBy("t").agg(*[(-way(c) / 2).alias(f"d{c}") for c in PLACE])
+    return found.groupBy("t").agg(*[(F.lit(0.0) - way(c) / 2).alias(f"d{c}") for c in PLACE])
 
 
 def relabelled(cliques: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def assigned_points(left: DataFrame, right: DataFrame) -> DataFrame:
     def solve(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"t": [], "g": [], "a": [], "b": [], "cost": []})
-        a, b = a.sort_values("id"), b.sort_values("id")
+        a, b = a.sort_values("id"), b.rename(columns=lambda c: c.removeprefix("__")).sort_values("id")
         flip = len(a) > len(b)
         few, many = (b, a) if flip else (a, b)
         costs = _Distances(few[list("xyz")].to_numpy(float), many[list("xyz")].to_numpy(float))
@@ -113,7 +113,9 @@ def assigned_points(left: DataFrame, right: DataFrame) -> DataFrame:
         own, other = few["id"].to_numpy(), many["id"].to_numpy()[to]
         return pd.DataFrame({"t": key[0], "g": key[1], "a": other if flip else own, "b": own if flip else other, "cost": [costs[i][j] for i, j in enumerate(to)]})
 
-    sides = [x.where("g IS NOT NULL").select("t", "g", "id", "x", "y", "z").groupBy("t", "g") for x in (left, right)]
+    # The right side's names are its own, lest the two sides of one table be taken for the same columns.
+    columns = ["t", "g", "id", "x", "y", "z"]
+    sides = [left.where("g IS NOT NULL").select(*columns).groupBy("t", "g"), right.where("g IS NOT NULL").select(*[F.col(c).alias(f"__{c}") for c in columns]).groupBy("__t", "__g")]
     kind = {c: left.schema[c].dataType.simpleString() for c in ("t", "g", "id")}
     return sides[0].cogroup(sides[1]).applyInPandas(solve, f"t {kind['t']}, g {kind['g']}, a {kind['id']}, b {right.schema['id'].dataType.simpleString()}, cost double")
 
