@@ -299,10 +299,46 @@ def stack(spark: SparkSession, path: str) -> DataFrame:
     return images(spark, path).drop("z").join(F.broadcast(rank), "file").select("x", "y", "z", "v")
 
 
+def _tiff_encoded(v: np.ndarray) -> bytes:
+    """One page a slice, one plain strip a page."""
+    bits, sample = 8 * v.itemsize, {"u": 1, "i": 2, "f": 3}[v.dtype.kind]
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for z in range(v.shape[2]):
+        raw, at = v[:, :, z].tobytes(order="F"), len(out)
+        out += raw + b"\0" * (len(raw) % 2)
+        struct.pack_into("<I", out, link, len(out))
+        # Tags of width, height, bits, compression, photometry, strip, samples, rows and bytes of a strip, sample kind.
+        tags = [(256, v.shape[0]), (257, v.shape[1]), (258, bits), (259, 1), (262, 1), (273, at), (277, 1), (278, v.shape[1]), (279, len(raw)), (339, sample)]
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", k, 4, 1, x) for k, x in tags)
+        link = len(out)
+        out += b"\0\0\0\0"
+    if len(out) >= 1 << 32:
+        raise ValueError("the format holds less than 4 GiB")
+    return bytes(out)
+
+
+def _meta_encoded(v: np.ndarray, size: tuple[float, float, float]) -> bytes:
+    name = next(n for n, k in _META.items() if k == v.dtype.str[1:])
+    lines = ["ObjectType = Image", "NDims = 3", "DimSize = " + " ".join(map(str, v.shape)), "BinaryDataByteOrderMSB = False",
+             "ElementSpacing = " + " ".join(map(str, size)), f"ElementType = {name}", "ElementDataFile = LOCAL\n"]
+    return "\n".join(lines).encode() + v.tobytes(order="F")
+
+
+def _nifti_encoded(v: np.ndarray, size: tuple[float, float, float]) -> bytes:
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, *v.shape, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, next(n for n, k in _NIFTI.items() if k == v.dtype.str[1:]), 8 * v.itemsize)
+    struct.pack_into("<4f", head, 76, 1, *size)
+    struct.pack_into("<2f", head, 108, 352, 1)
+    head[344:348] = b"n+1\0"
+    return bytes(head) + v.tobytes(order="F")
+
+
 def images_encoded(voxels: DataFrame, form: str = "inr", kind: str = "u1", size: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """name, content: one file (`inr` or `npy`) for each image of voxels (image, x, y, z, v); absent voxels are 0. An image
-    is put together in one task, as its file is one array."""
-    if form not in ("inr", "npy"):
+    """name, content: one file (`inr`, `npy`, `tif`, `mha` or `nii`) for each image of voxels (image, x, y, z, v); absent
+    voxels are 0; `npy` and `tif` don't keep the voxel size. An image is put together in one task, as its file is one array."""
+    if form not in ("inr", "npy", "tif", "mha", "nii"):
         raise ValueError(f"unknown format: {form}")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -313,6 +349,10 @@ def images_encoded(voxels: DataFrame, form: str = "inr", kind: str = "u1", size:
             out = io.BytesIO()
             np.save(out, v)
             content = out.getvalue()
+        elif form == "tif":
+            content = _tiff_encoded(v)
+        elif form != "inr":
+            content = (_meta_encoded if form == "mha" else _nifti_encoded)(v, size)
         else:
             what = "float" if kind[0] == "f" else ("unsigned fixed" if kind[0] == "u" else "signed fixed")
             lines = ["#INRIMAGE-4#{", *[f"{k}DIM={n}" for k, n in zip("XYZ", v.shape, strict=True)], "VDIM=1", f"TYPE={what}", f"PIXSIZE={8 * v.itemsize} bits", "SCALE=2**0", "CPU=decm",

@@ -136,6 +136,11 @@ def to_text(lines: DataFrame, order: list[str], folder: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
 
 
+def to_blocks(lines: DataFrame, block: list[str], order: list[str], folder: str) -> None:
+    """Lines as text; those of a block stand in order in one file, so that a reader of elements finds each one whole."""
+    lines.repartition(*block).sortWithinPartitions(*block, *order).select("line").write.mode("overwrite").text(folder)
+
+
 def translations(steps: DataFrame, folder: str) -> None:
     """t, dx, dy, dz as CSV."""
     to_csv(steps.select("t", "dx", "dy", "dz"), folder)
