@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,24 +79,100 @@ def seeds(points: DataFrame, field: DataFrame, ratio: float = 1.25, n: int = 10)
     return density(points, n).join(near, ["id", "t"]).select("id", "t", (F.col("d") / F.col("density")).alias("ratio")).where(F.col("ratio") > ratio)
 
 
-def gabriel(points: DataFrame, most: float | None = None) -> DataFrame:
-    """t, a, b (a < b): pairs of a frame with no other point strictly inside the sphere over them. With `most`, pairs up to
-    that length, found over grid cells; without, all pairs of a frame are candidates, of which those go first that the six
-    nearest of either end rule out."""
-    p = points.select("id", "t", "x", "y", "z")
-    if most is None:
-        pairs = p.alias("a").join(p.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))).select(
-            F.col("a.t").alias("t"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    else:
-        pairs = range_pairs(p, p, most).where("a < b").select("t", "a", "b")
-    coords = lambda n: p.select(F.col("t"), F.col("id").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
-    full = pairs.join(coords("a"), ["t", "a"]).join(coords("b"), ["t", "b"])
-    inside = sum((F.col(f"a{c}") - F.col(f"c{c}")) * (F.col(f"b{c}") - F.col(f"c{c}")) for c in "xyz") < 0
-    near = knn(p, p, 6).select("t", F.col("a"), F.col("b").alias("c")).join(coords("c"), ["t", "c"])
-    first = full.join(near.drop("c"), ["t", "a"]).where(inside).select("t", "a", "b").distinct()
-    left = stored(full.join(first, ["t", "a", "b"], "left_anti"))
-    blocked = left.join(coords("c"), "t").where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & inside).select("t", "a", "b").distinct()
-    return left.join(blocked, ["t", "a", "b"], "left_anti").select("t", "a", "b")
+#: The 26 directions of a cube's faces, edges and corners, in order of their steps; in the middle none.
+_AXES = [tuple(c / (math.sqrt(i * i + j * j + k * k) or 1) for c in (i, j, k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+#: Every direction is within this angle of the one that `_axis` names (30.4 degrees at most).
+_WIDE = math.radians(31)
+
+
+def _axis(way: list[Column]) -> Column:
+    """The number in _AXES, from 1, of a direction near to the way: steps along the components above 0.414 of the largest."""
+    most = F.greatest(*[F.abs(w) for w in way]) * 0.414
+    step = [F.when(w > most, 1).when(w < -most, -1).otherwise(0) for w in way]
+    return step[0] * 9 + step[1] * 3 + step[2] + 14
+
+
+def _unblocked(pairs: DataFrame, points: DataFrame, size: float) -> DataFrame:
+    """Pairs (t, a, b, p, q: places) of a length up to `size` with no point strictly inside the sphere over them. A sphere
+    meets at most eight cells of that width; only points of these are looked at."""
+    middle = lambda c: (F.col(f"p.{c}") + F.col(f"q.{c}")) / 2
+    half = distance("p", "q") / 2 * 1.000001
+    over = [F.sequence(F.floor((middle(c) - half) / size), F.floor((middle(c) + half) / size)) for c in "xyz"]
+    spheres = pairs
+    for c, cells in zip("xyz", over, strict=True):
+        spheres = spheres.withColumn(f"c{c}", F.explode(cells))
+    s, c = spheres.alias("s"), _cells(points, size, False).alias("c")
+    inside = sum((F.col(f"s.p.{k}") - F.col(f"c.{k}")) * (F.col(f"s.q.{k}") - F.col(f"c.{k}")) for k in "xyz") < 0
+    on = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in ("t", "cx", "cy", "cz")] + [F.col("s.a") != F.col("c.id"), F.col("s.b") != F.col("c.id"), inside]
+    blocked = s.join(c, on, "left_semi").select("t", "a", "b").distinct()
+    return pairs.join(blocked, ["t", "a", "b"], "left_anti").select("t", "a", "b")
+
+
+def gabriel(points: DataFrame, most: float | None = None, alike: int = 1024) -> DataFrame:
+    """t, a, b (a < b): pairs of a frame with no other point strictly inside the sphere over them; with `most`, of a length
+    above 0 and below it. Points at one place are all linked. Places must not be null.
+
+    A point c at distance r of a rules out whatever lies in the directions around c's beyond a bound that grows with the
+    angle. Of each of 26 cones around a the least bound is kept; once a has met all points within the greatest of them,
+    it has met all its neighbours, and goes. Rounds double the width of the grid cells that points meet in; only points
+    that none surround, those at the rim of a frame, are left for wide cells. Once rounds no longer help, or no frame has
+    more than `alike` points left, those left meet each other, in directions and at lengths that neither's bounds rule
+    out. Edges are exact whatever `alike`; the bounds only spare comparisons."""
+    p = points.select("id", "t", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    at = lambda n: F.struct(*[F.col(f"{n}.{c}").alias(c) for c in "xyz"])
+    if most is not None:
+        a, b = _cells(p, most, True).alias("a"), _cells(p, most, False).alias("b")
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "cx", "cy", "cz")] + [F.col("a.id") < F.col("b.id")]
+        near = a.join(b, on).where((distance("a", "b") > 0) & (distance("a", "b") < most))
+        return _unblocked(near.select(F.col("a.t").alias("t"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), at("a").alias("p"), at("b").alias("q")), p, most)
+    span = p.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).collect()[0]
+    crowd = lambda df: df.groupBy("t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    number = crowd(p)
+    if not number:
+        return p.select("t", F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    widest = max(span["x"], span["y"], span["z"], 1e-9) * math.sqrt(3) * 1.001
+    size = min(widest, widest * (6 / number) ** (1 / 3) / math.sqrt(3))
+    way = [F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"]
+    far = F.sqrt(sum(w * w for w in way))
+    along = [sum(w * x for w, x in zip(way, axis, strict=True)) for axis in _AXES]
+    beyond = lambda u: F.col("d") * F.col("d") / (u * math.cos(_WIDE) - F.sqrt(F.greatest(F.col("d") * F.col("d") - u * u, F.lit(0.0))) * math.sin(_WIDE))
+    bound = [F.min(F.when((F.col("d") > 0) & (beyond(F.col(f"u{k}")) > 0), beyond(F.col(f"u{k}")) * 1.000001)) if any(axis) else F.lit(-1.0) for k, axis in enumerate(_AXES)]
+    axis = _axis(way)
+    limit = lambda bounds, k: F.coalesce(F.when(far > 0, F.get(F.col(bounds), k)), F.lit(float("inf")))
+    left = p.withColumn("bounds", F.array().cast("array<double>"))
+    edges, least = [], -1.0
+    while True:
+        last = size >= widest or number <= alike
+        if not last:
+            a, b = _cells(left, size, True).alias("a"), _cells(p.join(left.select("id", "t", F.lit(True).alias("open")), ["id", "t"], "left"), size, False).alias("b")
+            on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("t", "cx", "cy", "cz")]
+            met = a.join(b, [*on, F.col("a.id") != F.col("b.id"), far <= size]).select(F.col("a.id").alias("id"), F.col("a.t").alias("t"), far.alias("d"), *[u.alias(f"u{k}") for k, u in enumerate(along)])
+            seen = stored(left.drop("bounds").join(met.groupBy("id", "t").agg(F.array(*bound).alias("bounds")), ["id", "t"], "left"))
+            a = _cells(seen, size, True).alias("a")
+            b = _cells(seen, size, False).alias("b")
+        else:
+            # All points left of a frame meet: shares of each side, so that a frame is many tasks.
+            parts = max(1, math.ceil(number / 2048))
+            seen = left
+            a = left.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(parts))).alias("a")
+            b = left.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).alias("b")
+            on = [F.col("a.t") == F.col("b.t"), F.col("a.share") == F.col("b.share")]
+        free = (far <= limit("a.bounds", axis - 1)) & (far <= limit("b.bounds", 27 - axis))
+        near = a.join(b, [*on, F.col("a.id") < F.col("b.id"), far > least, far <= (widest if last else size), free])
+        pairs = stored(near.select(F.col("a.t").alias("t"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), at("a").alias("p"), at("b").alias("q")))
+        edges.append(_unblocked(pairs, p, widest if last else size))
+        if last:
+            break
+        widest_bound = F.array_max(F.transform("bounds", lambda x: F.coalesce(x, F.lit(float("inf")))))
+        left = stored(seen.where(F.coalesce(widest_bound, F.lit(float("inf"))) > size))
+        before, number = number, crowd(left)
+        if not number:
+            break
+        least, size = size, widest if least > 0 and number > 0.7 * before else min(size * 2, widest)
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 def medoid(vectors: DataFrame) -> DataFrame:
