@@ -25,20 +25,27 @@ from chronovox.llm.common import bounded_sample, stored
 BUCKETS = 1 << 20
 STEMS = (3, 4, 5, 6, 7)
 _TERM = re.compile(r"[^\W_]+")
+_hash = xxhash.xxh64_intdigest
 
 
-@lru_cache(1 << 15)
-def _buckets(word: str) -> tuple[int, ...]:
+def _buckets(word: str) -> list[int]:
     """Of a word and its stems. No word holds the mark of a stem."""
-    forms = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
-    return tuple(xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 11) % BUCKETS for f in forms)
+    whole, letters = word.encode("utf-8", "surrogatepass"), len(word)
+    if len(whole) == letters:
+        forms = [whole, *[whole[:k] + b"*" for k in STEMS if letters > k]]
+    else:
+        forms = [whole, *[word[:k].encode("utf-8", "surrogatepass") + b"*" for k in STEMS if letters > k]]
+    return [_hash(f, 11) % BUCKETS for f in forms]
+
+
+_kept_buckets = lru_cache(1 << 15)(_buckets)
 
 
 def terms(text: str | None) -> dict[int, int]:
     """Bucket -> count over the whole text."""
     out: dict[int, int] = {}
     for word, n in Counter(_TERM.findall((text or "").lower())).items():
-        for k in _buckets(word):
+        for k in _kept_buckets(word):
             out[k] = out.get(k, 0) + n
     return out
 
@@ -60,6 +67,7 @@ class Machine:
         self.buckets = buckets
         self.index = np.full(BUCKETS, -1, dtype=np.int32)
         self.index[buckets] = np.arange(len(buckets))
+        self.used = frozenset(buckets.tolist())
         self.known: dict[str, tuple[int, ...]] = {}
         rng = np.random.Generator(np.random.PCG64(seed))
         self.w0 = 0.0
@@ -92,9 +100,9 @@ class Machine:
         for word, n in Counter(_TERM.findall((text or "").lower())).items():
             own = self.known.get(word)
             if own is None:
-                if len(self.known) >= 1 << 16:
+                if len(self.known) >= 1 << 18:
                     self.known.clear()
-                own = self.known[word] = tuple(k for k in _buckets(word) if self.index[k] >= 0)
+                own = self.known[word] = tuple([k for k in _buckets(word) if k in self.used])
             for k in own:
                 out[k] = out.get(k, 0) + n
         return out
