@@ -84,7 +84,7 @@ def position_file(spark, d):
 
 def _spots(spark, d) -> tuple[str, DataFrame]:
     n, at = t.nodes(spark, d), new_folder(spark, "spots")
-    exports.to_blocks(exports.mamut_lines(n, _links(n)), ["section", "a"], ["b"], at)
+    exports.to_mamut(n, _links(n), at)
     return at, texts.spots(spark, at)
 
 

@@ -136,9 +136,16 @@ def to_text(lines: DataFrame, order: list[str], folder: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
 
 
-def to_blocks(lines: DataFrame, block: list[str], order: list[str], folder: str) -> None:
-    """Lines as text; those of a block stand in order in one file, so that a reader of elements finds each one whole."""
-    lines.repartition(*block).sortWithinPartitions(*block, *order).select("line").write.mode("overwrite").text(folder)
+def to_mamut(nodes: DataFrame, edges: DataFrame, folder: str, most: int = 1 << 15) -> None:
+    """A MaMuT file as a folder of documents of about `most` spots each, none of them whole in one task. Readers of elements
+    lose what follows a line that isn't well-formed, so every document has the head, the foot and the frames' elements (of
+    the whole: nspots counts all). Spots are dealt by their ids, tracks by their roots; a track has all its edges in one."""
+    n = max(1, -(-nodes.count() // most))
+    spot = (F.col("section") == 2) & F.coalesce(F.abs("b") < (1 << 62), F.lit(True))
+    own = F.when(spot, F.xxhash64("b")).when(F.col("section").isin(4, 6), F.xxhash64("a"))
+    at = F.when(own.isNotNull(), F.array(F.pmod(own, F.lit(n)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = mamut_lines(nodes, edges).withColumn("document", F.explode(at)).repartition("document")
+    dealt.sortWithinPartitions("document", "section", "a", "b").select("document", "line").write.mode("overwrite").partitionBy("document").text(folder)
 
 
 def translations(steps: DataFrame, folder: str) -> None:

@@ -120,6 +120,21 @@ def test_mamut_round_trip(spark, tmp_path):  # noqa: F811
     assert sorted((r.src, r.dst) for r in texts.spot_edges(spark, str(tmp_path / "m.xml"), spots).collect()) == EDGES
 
 
+def test_mamut_documents(spark, tmp_path):  # noqa: F811
+    from xml.etree import ElementTree
+
+    n = 300
+    nodes = spark.range(n).selectExpr("id", "id % 8 AS t", "id * 0.5D AS x", "1.0D AS y", "2.0D AS z", "1 AS label")
+    edges = nodes.where("t > 0").selectExpr("id - 1 AS src", "id AS dst")
+    exports.to_mamut(nodes, edges, str(tmp_path / "m"), most=50)
+    documents = list((tmp_path / "m").glob("document=*/*.txt"))
+    assert len(documents) == 6 and all(ElementTree.fromstring(f.read_bytes()).tag == "TrackMate" for f in documents)
+    spots = texts.spots(spark, str(tmp_path / "m"))
+    assert sorted(tuple(r) for r in spots.collect()) == [(k, k % 8, k / 2, 1, 2) for k in range(n)]
+    got = texts.spot_edges(spark, str(tmp_path / "m"), spots).collect()
+    assert sorted((r.track, r.src, r.dst) for r in got) == [(k - k % 8, k - 1, k) for k in range(n) if k % 8]
+
+
 def test_amira_tulip_csv(spark, tmp_path):  # noqa: F811
     nodes, edges = forest(spark)
     labelled = nodes.withColumn("label", F.lit(1))
