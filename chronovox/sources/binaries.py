@@ -1,5 +1,6 @@
-"""Binary files: lineage forests, Gabriel graphs, images. Codecs run on executors, one file or image at a time; frames,
-trees and images are the unit, so that no file needs rows of another. `saved` writes encoded files from executors."""
+"""Binary files: lineage forests, Gabriel graphs, images. Codecs run on executors, one file or image at a time; trees,
+images and, of graphs, ranges of pairs are the unit, so that no file needs rows of another. `saved` writes encoded files
+from executors."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,34 +123,71 @@ def lineages(spark: SparkSession, path: str) -> DataFrame:
 
 # Gabriel graphs: two counts, pairs (t, how many numbers), then -(id + 1) of a source followed by id + 1 of its neighbours.
 
-def gabriel_encoded(edges: DataFrame) -> DataFrame:
-    """name, content: a file a frame, of undirected edges (t, a, b)."""
-    both = edges.select("t", "a", "b").unionByName(edges.select("t", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = both.groupBy("t", "a").agg(F.concat(F.array(-(F.col("a") + 1)), F.transform(F.sort_array(F.collect_list("b")), lambda b: b + 1)).alias("n"))
-    frames = near.groupBy("t").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("a", "n"))), lambda s: s["n"])).alias("n"))
-
-    def pack(batches):
-        for b in batches:
-            for t, n in zip(b["t"], b["n"], strict=True):
-                out = struct.pack("<4q", 2, len(n), t, len(n)) + np.asarray(n, dtype="<i8").tobytes()
-                yield pd.DataFrame({"name": [f"gabriel-{t:05d}.bin"], "content": [out]})
-
-    return frames.mapInPandas(pack, "name string, content binary")
-
-
-def _graph(content: bytes) -> pd.DataFrame:
+#: Pairs of a Gabriel file, about: a larger frame goes to several files.
+PAIRS = 1 << 18
+
+
+def gabriel_encoded(edges: DataFrame, most: int = PAIRS) -> DataFrame:
+    """name, content: files of undirected edges (t, a, b). A file holds one frame, or a range of its pairs (source, neighbour)
+    if there are more than `most`: pairs stream from a sort by ranges, so no task holds a frame. The neighbours of a source
+    that ends a file may go on in the next one."""
+    own, other = F.col("a").cast("long"), F.col("b").cast("long")
+    both = F.inline(F.array(F.struct(own.alias("a"), other.alias("b")), F.struct(other.alias("a"), own.alias("b"))))
+    pairs = edges.select(F.col("t").cast("long").alias("t"), both).repartitionByRange("t", "a", "b").sortWithinPartitions("t", "a", "b")
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t, a, b = np.concatenate(held, axis=1)
+        for k in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t)) + 1):
+            first = np.flatnonzero(np.r_[True, np.diff(a[k]) != 0])
+            n = np.insert(b[k] + 1, first, -(a[k][first] + 1)).astype("<i8")
+            name = f"gabriel-{t[k[0]]:05d}-{a[k[0]]}-{b[k[0]]}.bin"
+            content = struct.pack("<4q", 2, len(n), t[k[0]], len(n)) + n.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content])], ["name", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            before = np.c_[rows[:, :1] - 1 if last is None else last, rows[:, :-1]]
+            last = rows[:, -1:].copy()
+            held.append(rows[:, (rows != before).any(axis=0)])
+            size += held[-1].shape[1]
+            if size >= most:
+                yield from packed(held)
+                held, size = [], 0
+        if size:
+            yield from packed(held)
+
+    return pairs.mapInArrow(run, "name string, content binary")
+
+
+def _graph(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The frames (t, end of its numbers) and the numbers of a file."""
     m, n = struct.unpack_from("<2q", content)
     frames = np.frombuffer(content, "<i8", m, 16).reshape(-1, 2)
-    numbers = np.frombuffer(content, "<i8", n, 16 + 8 * m)
-    t = np.repeat(frames[:, 0], frames[:, 1])
-    place = np.maximum.accumulate(np.where(numbers < 0, np.arange(n), 0))
-    goal = numbers > 0
-    return pd.DataFrame({"t": t[goal], "a": -numbers[place][goal] - 1, "b": numbers[goal] - 1})
+    return np.c_[frames[:, 0], np.cumsum(frames[:, 1])], np.frombuffer(content, "<i8", n, 16 + 8 * m)
 
 
 def gabriel_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """file, t, a, b in both directions."""
-    return files(spark, path).mapInPandas(_each(_graph), "file string, t long, a long, b long")
+    """file, t, a, b in both directions. A file is decoded by pieces, as one can hold all frames."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                frames, numbers = _graph(memoryview(content.as_buffer()))
+                source = 0
+                for k in range(0, len(numbers), 1 << 16):
+                    piece = numbers[k : k + (1 << 16)]
+                    own = np.r_[source, piece]
+                    place = np.maximum.accumulate(np.where(own < 0, np.arange(len(own)), 0))
+                    source, goal = own[place[-1]], np.flatnonzero(piece > 0)
+                    t = frames[np.searchsorted(frames[:, 1], goal + k, side="right"), 0]
+                    columns = [pa.repeat(name, len(goal)), pa.array(t), pa.array(-own[place[1:]][goal] - 1), pa.array(piece[goal] - 1)]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "t", "a", "b"])
+
+    return files(spark, path).mapInArrow(run, "file string, t long, a long, b long")
 
 
 # Images. A decoder gives an array of axes x, y, z and the voxel size; formats tell themselves by their first bytes.

@@ -37,6 +37,24 @@ def test_gabriel_round_trip(spark, tmp_path):  # noqa: F811
     assert got == {x for t, a, b in rows for x in ((t, a, b), (t, b, a))}
 
 
+def test_gabriel_files_are_bounded(spark, tmp_path):  # noqa: F811
+    edges = spark.range(60_000).selectExpr("id % 3 AS t", "IF(id % 2 = 0, 0, id) AS a", "id + 1 AS b")  # half of them at one node
+    twice = edges.union(edges.selectExpr("t", "b", "a"))
+    binaries.saved(binaries.gabriel_encoded(twice, most=10_000), str(tmp_path / "g"))
+    found = list((tmp_path / "g").iterdir())
+    assert len(found) >= 6 and max(f.stat().st_size for f in found) <= 8 * 2 * 20_000 + 32
+    got = binaries.gabriel_graphs(spark, str(tmp_path / "g")).select("t", "a", "b")
+    want = edges.union(edges.selectExpr("t", "b", "a"))
+    assert got.count() == 120_000 and got.exceptAll(want).isEmpty()
+
+
+def test_gabriel_file_of_several_frames(spark, tmp_path):  # noqa: F811
+    numbers = [-1, *range(2, 70_002), -3, 5, -2, 1, 4]
+    (tmp_path / "all.bin").write_bytes(struct.pack(f"<2q4q{len(numbers)}q", 4, len(numbers), 7, 70_003, 9, 3, *numbers))
+    got = [tuple(r) for r in binaries.gabriel_graphs(spark, str(tmp_path / "all.bin")).select("t", "a", "b").collect()]
+    assert got == [(7, 0, k) for k in range(1, 70_001)] + [(7, 2, 4), (9, 1, 0), (9, 1, 3)]
+
+
 @pytest.mark.parametrize("form, kind", [("inr", "u1"), ("inr", "f4"), ("npy", "u2")])
 def test_image_round_trip(spark, tmp_path, form, kind):  # noqa: F811
     rows = [("a", 0, 0, 0, 3.0), ("a", 4, 2, 1, 200.0), ("b", 1, 1, 0, 7.0)]
