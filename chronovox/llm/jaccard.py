@@ -1,12 +1,12 @@
-"""Near copies by Jaccard similarity: texts whose sets of 5-word shingles have 4/5 or more in common.
+"""Near copies by SimHash and Jaccard similarity: texts whose sets of 5-word shingles have 4/5 or more in common.
 
-Candidates are found by minhash: BANDS bands of ROWS least hashes each. A pair of similarity 0.8 agrees in no band with
-probability (1 - 0.8^4)^32 < 6e-8, a more similar one less. What agrees in a band is only a candidate: links are decided
-by the exact similarity of the whole sets (of 64-bit hashes of shingles).
+Candidates are found by SimHash: wide codes of the sets, bits that agree, bit planes (simhash.wide_links). A pair of
+similarity 0.8 is missed with a probability of 6e-8, a more similar one less. What is linked there is only a candidate:
+links are decided by the exact similarity of the whole sets (of 64-bit hashes of shingles).
 
-Equal sets are one row beforehand, and bands that hold the same texts are compared once. A band's group of more than
-`block` shingles is cut into blocks that meet in pairs, so no task holds a large group; each piece returns a spanning
-forest of its links, never all of them."""
+Equal sets are one row beforehand, and candidates that hang together meet once. A group of more than `block` shingles is cut
+into blocks that meet in pairs, so no task holds a large group; each piece returns a spanning forest of its links, never
+all of them."""
 
 from __future__ import annotations
 
@@ -18,17 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronovox.llm import simhash
 from chronovox.llm.common import SMALL, joined_by_key, partitions, stored
 from chronovox.operators.graphs import components
 
 SIZE = 5
 #: The least similarity of a link, as a fraction: exact in whole numbers.
 LEAST = (4, 5)
-BANDS, ROWS = 32, 4
 BLOCK = 1 << 18
-_RNG = np.random.Generator(np.random.PCG64(17))
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -41,16 +38,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 5) for s in runs), dtype="<u8", count=max(1, len(w) - SIZE + 1)))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A hash of each band of a set; none for an empty set."""
-    if not len(own):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype="<u8")
-    for k in range(0, len(own), 1 << 10):
-        np.minimum(least, (own[k : k + (1 << 10), None] * _FACTORS + _TERMS).min(axis=0), out=least)
-    return [int(np.uint64(xxhash.xxh64_intdigest(b.tobytes(), k)).view(np.int64)) for k, b in enumerate(least.reshape(BANDS, ROWS))]
-
-
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the least row of its class, linked by similarities of LEAST or more. No set is empty."""
     n = len(sets)
@@ -83,22 +70,25 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", block: int
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, size, keys = [], [], []
+            same, size, codes = [], [], []
             for x in b.column(1):
                 own = shingles(x.as_py())
                 same.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 3)).view(np.int64)) if len(own) else 0)
                 size.append(len(own))
-                keys.append(bands(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.int64()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "size", "bands"])
-
-    found = stored(rows.mapInArrow(signed, f"doc_id {kind}, same bigint, size bigint, bands array<bigint>"))
-    distinct = stored(found.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows")))
-
-    spread = distinct.select("same", "size", F.explode("bands").alias("key"))
-    # Groups of the same members have the same sums of hashes; one of them stands for all.
-    members = [F.sum((F.xxhash64("same", F.lit(k)) % (1 << 40))).alias(f"m{k}") for k in (1, 2)]
-    groups = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"), *members).where("n > 1")
-    groups = stored(groups.groupBy("n", "all", "m1", "m2").agg(F.min("key").alias("key")).select("key", "all"))
+                codes.append(simhash.code(own) if len(own) else None)
+            name = [None if c is None else int.from_bytes(c[:8], "little", signed=True) for c in codes]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(same, pa.int64()), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.array(codes, pa.binary())],
+                ["doc_id", "same", "size", "name", "code"])
+
+    found = stored(rows.mapInArrow(signed, f"doc_id {kind}, same bigint, size bigint, name bigint, code binary"))
+    once = [F.first(c).alias(c) for c in ("size", "name", "code")]
+    distinct = stored(found.groupBy("same").agg(F.min("doc_id").alias("least"), *once, F.count(F.lit(1)).alias("rows")))
+
+    codes = stored(distinct.where("size > 0").select("code").distinct())
+    near = components(simhash.wide_links(codes, simhash.apart(LEAST[0] / LEAST[1])), SMALL)
+    spread = distinct.where("size > 0").join(near, F.col("name") == near.node, "left").select("same", "size", F.coalesce("root", "name").alias("key"))
+    groups = stored(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("n > 1").select("key", "all"))
     met = stored(
         spread.join(groups, "key")
         .withColumn("pieces", F.expr(f"CAST(ceil(all / {block}) AS INT)"))

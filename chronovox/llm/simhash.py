@@ -11,6 +11,7 @@ no task holds a large bucket; each piece returns a spanning forest of its links,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -188,3 +189,212 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(classes.join(lowest, "root").select("fp", "component_id", "rows"))
     return joined_by_key(found, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Wide codes: SimHash of WIDE bits, for radii that 64 bits can't tell from chance. No cut of the bits into blocks serves a
+# wide radius, so a bucket is a choice of bits that agree, one of many ("tables"), as many as the radius asks for.
+
+WIDE = 512
+#: The bits that are compared in a bucket, the first of a code; all of them go into the choice of buckets.
+COMPARED = 192
+#: Pairs just as alike as asked are missed with this probability at most; more alike ones with less.
+MISSED = 6e-8
+#: Rows that meet at once, about: groups of four times as many are cut into pieces that meet in pairs. Few, so that batches
+#: of rows on their way to Python stay small.
+MET = 1 << 11
+_WORDS = WIDE // 64
+_RNG = np.random.Generator(np.random.PCG64(23))
+_SALTS = _RNG.integers(0, 1 << 63, (2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ITEM = np.dtype([("key", "<u2"), ("code", "<u8", COMPARED // 64)])
+
+
+def code(hashes: np.ndarray) -> bytes:
+    """The WIDE bits of a set of 64-bit hashes, which is not empty: a bit is set if set in over half of the mixed hashes.
+    Bits are counted in bytes, eight to a word, up to 255 hashes at a time."""
+    counts = np.zeros(WIDE, dtype=np.int64)
+    for k in range(0, len(hashes), 255):
+        h = hashes[k : k + 255, None] * _SALTS[0]
+        h ^= h >> np.uint64(32)
+        h *= _SALTS[1]
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").view("<u8")
+        counts += bits.sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def apart(jaccard: float) -> float:
+    """The share of bits in which the codes of two sets of this similarity differ: the angle of their vectors by pi."""
+    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+
+
+def _differing(bits: int, share: float) -> np.ndarray:
+    """The probability of each number of differing bits."""
+    return np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)])
+
+
+def radius(bits: int, share: float) -> int:
+    """The number of differing bits that is exceeded with the probability MISSED / 4 at most."""
+    beyond = np.cumsum(_differing(bits, share)[::-1])[::-1]
+    return int(np.flatnonzero(beyond > MISSED / 4)[-1])
+
+
+def tables(bits: int, share: float) -> int:
+    """How many choices of so many bits of WIDE miss a pair with the probability MISSED / 2 at most."""
+    some = _differing(WIDE, share)
+    agree = np.array([math.comb(WIDE - d, bits) / math.comb(WIDE, bits) for d in range(WIDE + 1)])
+    n = 1
+    while (some * (1 - agree) ** n).sum() > MISSED / 2:
+        n += 1
+    return n
+
+
+def linked_wide(codes: np.ndarray, bucket: np.ndarray, most: int, first: int) -> np.ndarray:
+    """For each row of codes (words of 64 bits) a row of its class, linked by rows of the same bucket that differ in `most`
+    bits or fewer, of the first 64 in `first` or fewer. bucket: sorted. The first 64 bits stand in vertical planes as in
+    linked(), counted by carry-save adders for 64 rows at a time; all bits are counted for the pairs that they leave.
+
+    In large buckets, the rows near to a row go first and aren't compared with each other: they are one class."""
+    n = len(codes)
+    label, order, begin = np.arange(n), np.arange(n), np.arange(1, n + 1)
+    if n < 2:
+        return label
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[starts[1:], n]
+    for at, end in zip(starts[ends - starts > 256].tolist(), ends[ends - starts > 256].tolist(), strict=True):
+        for _ in range(64):
+            if end - at <= 256:
+                break
+            own = order[at:end]
+            differ = np.bitwise_count(codes[own] ^ codes[own[0]])
+            near = (differ.sum(axis=1) <= most) & (differ[:, 0] <= first)
+            count = int(near.sum())
+            order[at:end] = np.r_[own[near], own[~near]]
+            begin[at : at + count], label[at : at + count] = at + count, at
+            at += count
+    codes, end = codes[order], np.repeat(ends, ends - starts)
+    bits = np.unpackbits(np.ascontiguousarray(codes[:, 0]).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    words = -(-n // 64)
+    padded = np.zeros((64, words * 64), dtype=np.uint8)
+    padded[:, :n] = bits.T
+    planes = np.packbits(padded, axis=1, bitorder="little").view("<u8")  # bit k of the word w: row 64 w + k
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    rows, word = np.arange(n), begin // 64
+    found_a, found_b = [], []
+    while True:
+        inside = word * 64 < end[rows]
+        rows, word = rows[inside], word[inside]
+        if not len(rows):
+            break
+        for k in range(0, len(rows), 1 << 11):  # pieces that stay in the cache
+            own, at = rows[k : k + (1 << 11)], word[k : k + (1 << 11)]
+            valid = full << np.maximum(begin[own] - at * 64, 0).astype(np.uint64)
+            valid &= full >> (64 - np.minimum(end[own] - at * 64, 64)).astype(np.uint64)
+            asked = np.negative(bits[own].T.astype(np.int64)).view(np.uint64)  # all ones where the bit is set
+            left = ~_exceeding(planes[:, at] ^ asked, first) & valid
+            some = np.flatnonzero(left)
+            which, offset = np.nonzero(np.unpackbits(left[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            a, b = own[some[which]], at[some[which]] * 64 + offset
+            near = sum(np.bitwise_count(codes[a, w] ^ codes[b, w]).astype(np.int64) for w in range(codes.shape[1])) <= most
+            found_a.append(a[near])
+            found_b.append(b[near])
+        word = word + 1
+    if found_a:
+        label = _roots(n, np.concatenate(found_a), np.concatenate(found_b), label)
+    root = np.empty(n, dtype=np.int64)
+    root[order] = order[label]
+    return root
+
+
+def _exceeding(planes: np.ndarray, most: int) -> np.ndarray:
+    """Words whose bit is set where more than `most` of the planes have it: sums of three planes a time become one plane of
+    that weight and one of twice the weight, until each weight has one."""
+    digits, level = [], list(planes)
+    while level:
+        carries = []
+        while len(level) > 2:
+            a, b, c = level.pop(), level.pop(), level.pop()
+            u = a ^ b
+            carries.append((a & b) | (u & c))
+            level.append(u ^ c)
+        if len(level) == 2:
+            a, b = level
+            carries.append(a & b)
+            level = [a ^ b]
+        digits.append(level[0])
+        level = carries
+    over, same = np.zeros_like(digits[0]), np.full_like(digits[0], 0xFFFFFFFFFFFFFFFF)
+    for k in reversed(range(max(len(digits), most.bit_length()))):
+        digit = digits[k] if k < len(digits) else np.zeros_like(over)
+        if most >> k & 1:
+            same &= digit
+        else:
+            over |= same & digit
+            same &= ~digit
+    return over
+
+
+def wide_links(codes: DataFrame, share: float, met: int = MET) -> DataFrame:
+    """a, b (bigint): links of the codes in `code` (of code(), distinct) that connect all pairs whose sets are as alike as
+    `share`, the part of differing bits, says or more, but for those that MISSED allows, and some that are less alike. A code is named by its first 64 bits: codes equal in them
+    are one name. Tables have more bits, and are more, where there are more codes."""
+    spark = codes.sparkSession
+    n = max(2, codes.count())
+    bits = max(10, round(2 + math.log2(n) / 2))
+    cut = min(bits, max(0, bits - 16, math.ceil(math.log2(n / met))))
+    most, first, rng = radius(COMPARED, share), radius(64, share), np.random.Generator(np.random.PCG64(29))
+    chosen = [np.sort(rng.choice(WIDE, bits, replace=False)) for _ in range(tables(bits, share))]
+
+    def dealt(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            all_bits = np.unpackbits(own, axis=1, bitorder="little")
+            items = np.zeros(b.num_rows, _ITEM)
+            items["code"] = np.ascontiguousarray(own[:, : COMPARED // 8]).view("<u8")
+            for t, some in enumerate(chosen):
+                key = all_bits[:, some].astype(np.int64) @ (1 << np.arange(bits))
+                order = np.argsort(key, kind="stable")
+                route = key[order] >> (bits - cut)
+                items["key"] = key & ((1 << (bits - cut)) - 1)
+                ends = np.r_[np.flatnonzero(np.diff(route)) + 1, len(route)]
+                counts = np.diff(np.r_[0, ends])
+                columns = [pa.array((t << bits) + route[ends - 1]), pa.array(counts)]
+                if whole:
+                    offsets = pa.array(np.r_[0, ends].astype(np.int32) * _ITEM.itemsize).buffers()[1]
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(items[order].tobytes())]))
+                yield pa.RecordBatch.from_arrays(columns, ["route", "n", "items"][: len(columns)])
+
+    sizes = codes.select("code").mapInArrow(lambda b: dealt(b, False), "route bigint, n bigint").groupBy("route").agg(F.sum("n").alias("n"))
+    large = F.broadcast(sizes.where(F.col("n") > 4 * met).select("route", F.expr(f"CAST(ceil(n / {met}) AS INT)").alias("pieces")))
+    spread = (
+        codes.select("code").mapInArrow(lambda b: dealt(b, True), "route bigint, n bigint, items binary")
+        .join(large, "route", "left")
+        .withColumn("mine", F.pmod(F.xxhash64("items"), F.coalesce("pieces", F.lit(1))).cast("int"))
+        .withColumn("other", F.explode(F.expr("IF(pieces IS NULL, array(0), sequence(0, pieces - 1))")))
+        .select("route", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "items")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def compared() -> pa.RecordBatch:
+            items = np.frombuffer(b"".join(held), _ITEM)
+            items = items[np.argsort(items["key"], kind="stable")]
+            own = np.ascontiguousarray(items["code"])
+            name, root = own[:, 0].view(np.int64), linked_wide(own, items["key"], most, first)
+            links = np.unique(np.stack([name, name[root]], axis=1)[name != name[root]], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+        for b in batches:
+            for *at, items in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if at != now:
+                    if held:
+                        yield compared()
+                    now, held = at, []
+                held.append(items.as_buffer())
+        if held:
+            yield compared()
+
+    keys = ["route", "low", "high"]
+    return spread.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
