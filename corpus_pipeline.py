@@ -32,7 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of least key; of equal rows, one. Near-duplicates share
-    0.8 or more of their 5-word shingles (Jaccard); op9's contract, three bits of fingerprints, is not this stage's."""
+    0.8 or more of their 5-word shingles (Jaccard): SimHash, in wider codes than those of op9's contract, finds them, and
+    whole sets decide."""
     docs = keyed(docs)
     least = jaccard.near_copies(docs, "__key").where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
     return docs.join(least, "__key", "left_semi").dropDuplicates(["__key"]).select(*COLUMNS)
