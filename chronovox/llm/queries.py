@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronovox.llm import langid, lzphrases, mixing, quality, sentencepieces, sharding, simhash, substrings, surrogates, toxicity
+from chronovox.llm import langid, lzphrases, mixing, packing, quality, runs, sentencepieces, sharding, simhash, substrings, surrogates, toxicity, whitening
 from chronovox.llm.common import documents, labels, remainder, words
 
 
@@ -96,7 +96,55 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows, [5, 2, 1], share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_toxicity, op3_pii_surrogates, op4_substring_dedup, op5_sentencepiece, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing)}
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text of every row; where 10 divides the crc32 of the id (a null one counts as empty), the words from one
+    on repeat from there to the end with a period: all three follow from the id and the number of words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.expr("__h div 10")
+    n = F.size("__w")
+    rows = docs.select("doc_id", "text", h.alias("__h")).withColumn("__w", F.when(F.col("__h") % 10 == 0, words(F.col("text"))))
+    rows = rows.withColumn("__a", F.when(n > 0, (g % n).cast("int"))).withColumn("__p", (1 + F.floor((n - F.col("__a")) / (3 + g % 8))).cast("int"))
+    a, p = F.col("__a"), F.col("__p")
+    tail = F.flatten(F.array_repeat(F.slice("__w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    edited = F.array_join(F.slice(F.concat(F.slice("__w", F.lit(1), a), tail), F.lit(1), n), " ")
+    return rows.select("doc_id", F.when(a.isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, some of which get periodic ends first, and the hash of their words without the repeats."""
+    found = runs.periodic_runs(planted_runs(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r.length / r.period).alias("e"), (-r.start).alias("s"), (-r.period).alias("p"), r.length.alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    return found.withColumn("b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.p")).alias("period"),
+        F.expr("1000 * b.length div -b.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, in 64ths, whitened, and how far their covariance is from the identity."""
+    rows = whitening.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    rows = rows.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * 64).cast("long") + 1000000).alias("embedding"))
+    w = whitening.fit(rows)
+    return whitening.whitened(rows, w).withColumn("identity_error", F.lit(whitening.identity_error(rows, w)))
+
+
+def tokenizer_file(spark: SparkSession) -> str:
+    """The content of a tokenizers file, read on the driver."""
+    if not (at := spark.conf.get("spark.chronovox.tokenizer.file", None)):
+        import public_tokenizers
+
+        at = public_tokenizers.path("byte_bpe_50k.json")
+    with open(at, encoding="utf-8") as f:
+        return f.read()
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of up to 2048 ids."""
+    return packing.packed(documents(spark, sf_dir), tokenizer_file(spark), end=1, capacity=2048).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_toxicity, op3_pii_surrogates, op4_substring_dedup, op5_sentencepiece, op6_sharding, op7_quality_rules, op8_language_id, op9_simhash, op10_mixing, op11_periodic_runs, op12_whitening, op13_packing)}
 
 #: Windows as texts, the least doc_id of each, and the words they cover.
 _OP4 = r"""
