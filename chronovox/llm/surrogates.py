@@ -8,7 +8,12 @@ entity is permuted, not how it's written: the case of letters and the punctuatio
 one number stay two spellings of one surrogate. Check digits stay right: cards by Luhn, IBANs by 97.
 
 A name's gender is that of its list, or told by its ending, which a surrogate keeps. Titles stay in the text.
-Each task checks the surrogates of its rows for collisions, collisions() those of a whole table."""
+
+Spellings of one entity (the case of names and addresses, the punctuation of numbers, leading zeros of IP addresses, quotes
+around secrets) have one canonical form; the canonical form of a surrogate is a one-to-one image of that of its entity, as
+strings of different classes (listed names and others, hexadecimal secrets and others, numbers with right check digits and
+others) are permuted apart. collisions() checks that over a whole table, and distinct() moves entities that share a surrogate
+all the same on to their next images."""
 
 from __future__ import annotations
 
@@ -22,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronovox.operators.checkpoints import removed, stored_at
+
 # Given names by script and gender, as surrogates and to tell a name's gender.
 NAMES = {
     "latin f": """Agnes Alice Amelia Anna Astrid Barbara Beatrice Birgit Carla Carmen Caroline Charlotte Chiara Clara Diana Elena
@@ -113,7 +120,7 @@ class Permutations:
         """A bijection of the strings of the same shape: each character is replaced by one of the first alphabet that
         has it, in its own case; others stay and belong to the shape. Images that aren't allowed are mapped on, so the
         allowed strings, of which `text` must be one, are permuted among themselves."""
-        lower = [c.lower() if len(c.lower()) == 1 else c for c in text]
+        lower = list(lowered(text))
         own = [next((a for a in alphabets if c in a), None) for c in lower]
         shape = "".join("*" if a else c for a, c in zip(own, lower, strict=True))
         now = lower
@@ -122,7 +129,7 @@ class Permutations:
             now = [a[next(images)] if a else c for a, c in zip(own, now, strict=True)]
             if allowed("".join(now)):
                 break
-        return "".join(c.upper() if was.isupper() else c for c, was in zip(now, text, strict=True))
+        return "".join(c.upper() if was.isupper() and len(c.upper()) == 1 else c for c, was in zip(now, text, strict=True))
 
     def listed(self, item: str, items: list[str], tweak: str) -> str:
         """A bijection of a list without fixed items: the next item in a keyed order."""
@@ -130,6 +137,44 @@ class Permutations:
         return order[(order.index(item) + 1) % len(order)]
 
 
+def lowered(text: str) -> str:
+    """Each character in lower case, if that is one character."""
+    return "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
+
+
+def folded(name: str) -> str:
+    """What listed names are looked up by; a final sigma is told from others by its place."""
+    return name.upper().lower()
+
+
+def plain_digits(text: str) -> str:
+    return text if text.isascii() else re.sub(r"\d", lambda m: str(int(m[0])), text)
+
+
+def hexadecimal(secret: str) -> bool:
+    """Of hexadecimal digits in one case, letters and figures both among them."""
+    low = secret.lower()
+    return secret in (low, secret.upper()) and not low.strip(_HEX) and not low.isdigit() and not low.isalpha()
+
+
+def canonical(kind: str, text: str) -> str:
+    """What an entity's spellings have in common."""
+    if kind == "name":
+        return folded(text) if folded(text) in GENDER else lowered(text)
+    text = plain_digits(text)
+    if kind == "email":
+        return text.lower()
+    if kind == "secret":
+        return text.strip("\"'")
+    if kind == "ip":
+        return ":".join(f"{int(x, 16):x}" for x in text.split(":")) if ":" in text else ".".join(str(int(x)) for x in text.split("."))
+    return re.sub(r"[^0-9A-Z]", "", text)
+
+
+#: Listed names, folded: the list that has them.
+GENDER = {folded(n): g for g, names in NAMES.items() for n in names}
+
+
 def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -147,12 +192,12 @@ def ending(name: str) -> str:
 class Surrogates:
     """Finds entities in a text and makes their surrogates."""
 
-    def __init__(self, key: bytes):
+    def __init__(self, key: bytes, moved: dict[str, int] | None = None):
+        """moved: how many further images an entity (by its digest) is moved on."""
         if not key:
             raise ValueError("a key is needed")
         self.p = Permutations(key)
-        self.gender = {n.lower(): g for g, names in NAMES.items() for n in names}
-        self.seen: dict[tuple[str, str], str] = {}
+        self.moved = moved or {}
         self.surrogate = lru_cache(1 << 16)(self._surrogate)
 
     def _digits(self, text: str, new: str) -> str:
@@ -161,12 +206,15 @@ class Surrogates:
 
     def _surrogate(self, kind: str, text: str) -> str:
         p = self.p
+        if kind != "name":
+            text = plain_digits(text)
         if kind == "email":
             local, _, domain = text.partition("@")
             tail = next((r for r in RESERVED if domain.lower().endswith(r)), domain[domain.rfind(".") + 1 :].lower())
             head = domain[: len(domain) - len(tail)]
             # The whole address is one string, so addresses of one domain don't show that they are.
-            new = p.string(f"{local}@{head}", [_LATIN, _DIGITS], f"email|{tail}")
+            reserved = tail in RESERVED
+            new = p.string(f"{local}@{head}", [_LATIN, _DIGITS], f"email|{tail}", lambda s: reserved or not (s + tail).endswith(RESERVED))
             return new + domain[len(head) :]
         if kind == "phone":
             digits = re.sub(r"\D", "", text)
@@ -178,7 +226,9 @@ class Surrogates:
             return self._digits(text, p.string(digits, [_DIGITS], "card", lambda s: luhn(s) == valid))
         if kind == "ip":
             if ":" in text:
-                return p.string(text, [_HEX], "ip6")
+                groups = text.split(":")
+                new = ":".join(f"{x:0{4 if all(len(g) == 4 for g in groups) else 1}x}" for x in p.places([int(g, 16) for g in groups], [1 << 16] * 8, "ip6"))
+                return new.upper() if text != text.lower() else new
             parts = list(map(int, text.split(".")))
             kept = 1 <= parts[0] <= 223
             while True:
@@ -190,16 +240,23 @@ class Surrogates:
         if kind == "iban":
             return self._iban(text)
         if kind == "secret":
-            bare = text.strip("\"'").lower()
-            return p.string(text, [_HEX] if not bare.strip(_HEX) else [_LATIN, _DIGITS], "secret")
-        name = text.lower()
-        if known := self.gender.get(name):
-            new = p.listed(text.title() if text.title() in NAMES[known] else next(n for n in NAMES[known] if n.lower() == name), NAMES[known], "name")
+            bare = text.strip("\"'")
+            at = text.index(bare)
+            if hexadecimal(bare):
+                new = p.string(bare.lower(), [_HEX], "secret|hex", hexadecimal)
+                new = new.upper() if bare.isupper() else new
+            else:  # letters stay letters, so those of mixed case stay mixed
+                one_case = bare in (bare.lower(), bare.upper())
+                new = p.string(bare, [_LATIN, _DIGITS], "secret", lambda s: not (one_case and hexadecimal(s)))
+            return text[:at] + new + text[at + len(bare) :]
+        if known := GENDER.get(folded(text)):
+            new = p.listed(next(n for n in NAMES[known] if folded(n) == folded(text)), NAMES[known], "name")
             return new.upper() if text.isupper() else new
+        name = lowered(text)
         # A name of no list gets letters of its own kinds before the ending that may tell its gender.
         tail = ending(name)
         stem = text[: len(text) - len(tail)]
-        new = p.string(stem, [_VOWELS, _CONSONANTS, *_SCRIPTS], f"name|{tail}", lambda x: ending(x + tail) == tail and x + tail not in self.gender)
+        new = p.string(stem, [_VOWELS, _CONSONANTS, *_SCRIPTS], f"name|{tail}", lambda x: ending(x + tail) == tail and folded(x + tail) not in GENDER)
         return new + text[len(stem) :]
 
     def _iban(self, text: str) -> str:
@@ -249,46 +306,48 @@ class Surrogates:
         return sorted(found)
 
     def entity(self, kind: str, text: str) -> str:
-        """A keyed digest that tells entities apart without telling what they are."""
-        return hashlib.blake2b(f"{kind}|{text}".encode("utf-8", "surrogatepass"), key=self.p.key[:64], digest_size=8).hexdigest()
+        """A keyed digest that tells entities apart without telling what they are; spellings of one have the same."""
+        return hashlib.blake2b(f"{kind}|{canonical(kind, text)}".encode("utf-8", "surrogatepass"), key=self.p.key[:64], digest_size=8).hexdigest()
 
     def replace(self, text: str | None) -> tuple[str | None, list[dict]]:
-        """The text with surrogates, and the entities' places in the original. Raises if two entities of one type came
-        to share a surrogate, in this text or in earlier ones (of which the last 200,000 entities count); the
-        permutations rule that out."""
+        """The text with surrogates, and the entities' places in the original."""
         if not text:
             return text, []
         out, spans, last = [], [], 0
         for a, b, kind in self.find(text):
+            own = self.entity(kind, text[a:b])
             new = self.surrogate(kind, text[a:b])
-            if len(self.seen) >= 200_000:
-                self.seen.clear()
-            if self.seen.setdefault((kind, new), text[a:b]) != text[a:b]:
-                raise RuntimeError(f"two entities of type {kind} share a surrogate")
+            for _ in range(self.moved.get(own, 0)):
+                new = self.surrogate(kind, new)
             out += [text[last:a], new]
-            spans.append({"start": a, "end": b, "kind": kind, "surrogate": new, "entity": self.entity(kind, text[a:b])})
+            spans.append({"start": a, "end": b, "kind": kind, "surrogate": new, "entity": own, "image": self.entity(kind, new)})
             last = b
         return "".join([*out, text[last:]]), spans
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """kind, surrogate, n: surrogates that n > 1 different entities share in the column `entities` of a whole table, of
-    which there should be none. Equal entities are one row before the shuffle."""
-    each = found.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.entity").distinct()
-    return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """kind, image, n, entities: surrogates, by the digest of their canonical form, that n > 1 different entities share in the
+    column `entities` of a whole table, of which there should be none. Equal entities are one row before the shuffle."""
+    each = found.select(F.explode("entities").alias("e")).select("e.kind", "e.image", "e.entity").distinct()
+    return each.groupBy("kind", "image").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("entity")).alias("entities")).where("n > 1")
 
 
-def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, the text column with surrogates, and entities: array of (start, end, kind, surrogate, entity),
-    start and end in code points of the original, entity a keyed digest of it. An existing column named entities is overwritten.
+_FIELDS = {"start": "int", "end": "int", "kind": "string", "surrogate": "string", "entity": "string", "image": "string"}
+
+
+def replaced(docs: DataFrame, key: bytes, text_col: str = "text", moved: dict[str, int] | None = None) -> DataFrame:
+    """All columns of docs, the text column with surrogates, and entities: array of (start, end, kind, surrogate, entity,
+    image), start and end in code points of the original, entity and image keyed digests of the canonical forms of it and of
+    its surrogate. An existing column named entities is overwritten.
 
     A null text stays null, and texts without entities stay as they are, to the byte. Entities inside very long texts
-    are found like any other. Repeated rows come out repeated, with equal surrogates."""
-    kind = "array<struct<start:int,end:int,kind:string,surrogate:string,entity:string>>"
-    schema = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string()), ("entity", pa.string())])))])
+    are found like any other, in one task a text. Repeated rows come out repeated, with equal surrogates; no rows, no rows."""
+    kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in _FIELDS.items())}>>"
+    schema = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in _FIELDS.items()])))])
+
     @F.arrow_udf(f"struct<text:string,entities:{kind}>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        maker = Surrogates(key)
+        maker = Surrogates(key, moved)
         for batch in texts:
             done = [maker.replace(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], schema.field("entities").type)], fields=list(schema))
@@ -299,3 +358,18 @@ def replaced(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
         .withColumn("__new", run("__text"))
         .select(*[F.col("__new.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "entities"], F.col("__new.entities").alias("entities"))
     )
+
+
+def distinct(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """replaced(), stored once, and checked: of entities that share a surrogate all but the one of least digest are moved
+    on to their next image, everywhere, until none do. The driver holds the moved ones only; the permutations leave none
+    but for the digests' own collisions."""
+    moved: dict[str, int] = {}
+    while True:
+        at, found = stored_at(replaced(docs, key, text_col, moved))
+        shared = [e for r in collisions(found).toLocalIterator() for e in r["entities"][1:]]
+        if not shared:
+            return found
+        removed(docs.sparkSession, at)
+        for e in shared:
+            moved[e] = moved.get(e, 0) + 1
