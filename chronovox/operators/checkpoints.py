@@ -46,9 +46,14 @@ def removed(spark: SparkSession, path: str) -> None:
     files.delete(p, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once, written, and read back. Column names must differ."""
+def stored_at(df: DataFrame) -> tuple[str, DataFrame]:
+    """stored(df) and the folder that holds it, for those who want to remove it early."""
     spark = df.sparkSession
     at = new_folder(spark, "stored")
     df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return at, spark.read.schema(df.schema).parquet(at)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once, written, and read back. Column names must differ."""
+    return stored_at(df)[1]

@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; n_chars follows the text."""
-    return surrogates.replaced(docs, surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return surrogates.distinct(docs, surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
