@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronovox.operators.checkpoints import stored
 
@@ -38,11 +39,29 @@ def unit(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") / float(1 << 53)
 
 
-def bounded_sample(rows: DataFrame, by: str, key: str, most: int, seed: int = 7) -> DataFrame:
-    """About `most` rows, or all if fewer, of each value of `by`: a row stays if a hash of `key` falls below
-    most / count. Spark broadcasts the counts if they are small."""
-    share = rows.groupBy(by).agg((F.lit(float(most)) / F.count(F.lit(1))).alias("__share"))
-    return rows.join(share, by).where(unit(F.col(key), seed) < F.col("__share")).drop("__share")
+#: Groups of rows whose sizes the driver may hold and broadcast.
+FEW = 10_000
+
+
+def group_sizes(rows: DataFrame, by: str) -> list[tuple]:
+    """(value of `by`, number of rows) of each group, or of FEW + 1 groups if there are more."""
+    return [(r[0], r[1]) for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(FEW + 1).collect()]
+
+
+def bounded_sample(rows: DataFrame, by: str, key: str, most: int, seed: int = 7, sizes: list[tuple] | None = None) -> DataFrame:
+    """About `most` rows, or all if fewer, of each non-null value of `by`: a row stays if a hash of `key` falls below
+    most / count. Up to FEW counts are broadcast, so that rows stay where they lie; more meet the rows in salted groups, so
+    that a frequent value is no single task's. sizes: what group_sizes() gave, if it's known."""
+    spark, kind = rows.sparkSession, rows.schema[by].dataType
+    sizes = group_sizes(rows, by) if sizes is None else sizes
+    share = lambda n: F.lit(float(most)) / n
+    if len(sizes) <= FEW:
+        known = spark.createDataFrame(sizes, T.StructType([T.StructField(by, kind), T.StructField("__n", T.LongType())]))
+        met = rows.join(F.broadcast(known), by)
+    else:
+        counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        met = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(64)).cast("int")).join(counts, [by, "__salt"]).drop("__salt")
+    return met.where(unit(F.col(key), seed) < share(F.col("__n"))).drop("__n")
 
 
 def in_order(df: DataFrame, order: list[Column], first: dict[str, Column], total: dict[str, Column]) -> DataFrame:

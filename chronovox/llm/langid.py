@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronovox.llm.common import bounded_sample, remainder
+from chronovox.llm.common import bounded_sample, group_sizes, remainder
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -97,13 +97,14 @@ class Model:
         return names, scores
 
 
-def train(rows: DataFrame, max_docs: int = 6000, parts: int = 16) -> Model:
+def train(rows: DataFrame, max_docs: int = 6000) -> Model:
     """rows: doc_id, text, lang. Rows of null text or language don't count.
 
     About max_docs documents a language are used, those of least hash of the id, in full; all if there are fewer. Every
-    language is learned: the model has one row of BUCKETS numbers each. All documents are scanned where they lie; only the
-    sample, bounded by max_docs a language, is dealt to `parts` tasks, whose counts are added up by language, and the
-    driver gets one sparse row a language."""
+    language is learned: the model has one row of BUCKETS numbers each. The numbers of
+    documents of the languages are broadcast, and all documents are scanned where they lie; only the sample, bounded by
+    max_docs a language, is dealt to 16 tasks or as many as there are languages, whose counts are added up by language, and
+    the driver gets one sparse row a language. Texts of any length are learned whole; no rows make a model that knows nothing."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,8 @@ def train(rows: DataFrame, max_docs: int = 6000, parts: int = 16) -> Model:
         return pa.table({"lang": table.column("lang").slice(0, 1), "docs": pa.array([pc.sum(table.column("docs")).as_py()], pa.int64()), "buckets": pa.array([some.astype("<i4").tobytes()]), "counts": pa.array([total[some].tobytes()])})
 
     schema = "lang string, docs bigint, buckets binary, counts binary"
-    sample = bounded_sample(rows, "lang", "doc_id", max_docs).select("text", "lang").repartition(parts)
+    sizes = group_sizes(rows, "lang")
+    sample = bounded_sample(rows, "lang", "doc_id", max_docs, sizes=sizes).select("text", "lang").repartition(max(16, len(sizes)))
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
     for r in sample.mapInArrow(run, schema).groupBy("lang").applyInArrow(added, schema).toLocalIterator():
