@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronovox.catalog import _N, _V, query
-from chronovox.operators import spatial
+from chronovox.operators import spatial, voxels
 from chronovox.operators.checkpoints import new_folder, stored
 from chronovox.plans.wider import _links
-from chronovox.sources import binaries, exports, texts
+from chronovox.sources import binaries, exports, grids, texts
 from chronovox.sources import tables as t
 from chronovox.streaming import frames
 
@@ -39,26 +39,59 @@ def graph_file(spark, d):
     return binaries.gabriel_graphs(spark, at).drop("file")
 
 
+def _in_pieces(spark, parts: DataFrame) -> str:
+    """The folder of files put together from (name, piece, content)."""
+    at = new_folder(spark, "files")
+    grids.saved(parts, at)
+    return at
+
+
 def _image_file(form: str, kind: str, size: tuple[float, float, float]):
     def run(spark, d):
         image = t.voxels(spark, d).withColumn("image", F.concat(F.lit("image"), F.col("x") % 3))
-        at = _written(spark, binaries.images_encoded(image, form, kind, size))
-        name = F.regexp_extract("file", r"image([0-9]+)\.[a-z]+$", 1).cast("long")
-        return binaries.images(spark, at).select(name.alias("image"), "x", "y", "z", "v", "vx", "vy", "vz")
+        if form == "tif":
+            read = binaries.images(spark, _written(spark, binaries.images_encoded(image, kind)))
+        else:
+            read = grids.images(spark, _in_pieces(spark, grids.pieces(image, form, kind, size, block=(16, 9, 3))))
+        name = F.regexp_extract("file", r"image([0-9]+)\.[a-z0-9]+$", 1).cast("long")
+        return read.select(name.alias("image"), "x", "y", "z", "v", "vx", "vy", "vz")
 
     run.__name__ = f"{form}_file"
     vx, vy, vz = size
     query(f"WITH {_V} SELECT x % 3 AS image, x, y, z, v, CAST({vx} AS DOUBLE) AS vx, CAST({vy} AS DOUBLE) AS vy, CAST({vz} AS DOUBLE) AS vz FROM im")(run)
 
 
-for _form, _kind, _size in (("inr", "f4", (1.0, 2.0, 6.25)), ("npy", "u2", (1.0, 1.0, 1.0)), ("tif", "u1", (1.0, 1.0, 1.0)), ("mha", "i2", (1.0, 0.5, 3.0)), ("nii", "f8", (0.5, 0.5, 2.0))):
+for _form, _kind, _size in (("inr", "f4", (1.0, 2.0, 6.25)), ("npy", "u2", (1.0, 1.0, 1.0)), ("tif", "u1", (1.0, 1.0, 1.0)), ("mha", "i2", (1.0, 0.5, 3.0)), ("nii", "f8", (0.5, 0.5, 2.0)), ("klb", "u2", (0.5, 0.5, 2.0)), ("h5", "i4", (1.0, 1.0, 1.0))):
     _image_file(_form, _kind, _size)
 
 
+@query(f"WITH {_V} SELECT x, y, z, v FROM im WHERE x BETWEEN 5 AND 20 AND y < 7 AND z = 3")
+def klb_roi(spark, d):
+    """Of a compressed image only the blocks that meet the region are read."""
+    at = _in_pieces(spark, grids.pieces(t.voxels(spark, d).withColumn("image", F.lit("whole")), "klb", "u2", block=(8, 8, 2), pack="bzip2"))
+    return grids.images(spark, at).where("x BETWEEN 5 AND 20 AND y < 7 AND z = 3").select("x", "y", "z", "v")
+
+
+@query(f"WITH {_V}, m AS (SELECT min(x - z) AS lx, min(y - 2 * z) AS ly FROM im) SELECT x - z - lx AS x, y - 2 * z - ly AS y, z, v FROM im, m")
+def resampled_file(spark, d):
+    """A sheared image has negative places: it is moved onto a canvas, written and read."""
+    sheared = t.voxels(spark, d).select((F.col("x") - F.col("z")).alias("x"), (F.col("y") - 2 * F.col("z")).alias("y"), "z", "v")
+    at = _in_pieces(spark, grids.pieces(voxels.on_canvas(sheared, "xy").withColumn("image", F.lit("sheared")), "inr", "u1"))
+    return grids.images(spark, at).select("x", "y", "z", "v")
+
+
+@query(f"WITH {_V} SELECT x, y, z, v AS dx, v - x AS dy, z / 4 AS dz FROM im")
+def field_file(spark, d):
+    """A vector field as an image of three values a voxel; voxels without a vector are absent."""
+    field = t.voxels(spark, d).select(F.lit("field").alias("image"), "x", "y", "z", F.col("v").alias("dx"), (F.col("v") - F.col("x")).alias("dy"), (F.col("z") / 4).alias("dz"))
+    at = _in_pieces(spark, grids.pieces(field, "inr", "f8", values=("dx", "dy", "dz")))
+    return grids.images(spark, at, vectors=True).where("dx <> 0 OR dy <> 0 OR dz <> 0").select("x", "y", "z", "dx", "dy", "dz")
+
+
 @query(f"WITH {_V} SELECT x, y, dense_rank() OVER (ORDER BY z) - 1 AS z, v FROM im")
 def slices_folder(spark, d):
     image = t.voxels(spark, d).withColumn("image", F.format_string("slice%08d", "z")).withColumn("z", F.lit(0))
-    return binaries.stack(spark, _written(spark, binaries.images_encoded(image, "npy", "u1")))
+    return binaries.stack(spark, _in_pieces(spark, grids.pieces(image, "npy", "u1")))
 
 
 @query(f"WITH {_N} SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM n")

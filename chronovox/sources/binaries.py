@@ -356,48 +356,44 @@ def _tiff_encoded(v: np.ndarray) -> bytes:
     return bytes(out)
 
 
-def _meta_encoded(v: np.ndarray, size: tuple[float, float, float]) -> bytes:
-    name = next(n for n, k in _META.items() if k == v.dtype.str[1:])
-    lines = ["ObjectType = Image", "NDims = 3", "DimSize = " + " ".join(map(str, v.shape)), "BinaryDataByteOrderMSB = False",
+def meta_head(dims, kind: str, size: tuple[float, float, float]) -> bytes:
+    name = next(n for n, k in _META.items() if k == kind)
+    lines = ["ObjectType = Image", "NDims = 3", "DimSize = " + " ".join(map(str, dims)), "BinaryDataByteOrderMSB = False",
              "ElementSpacing = " + " ".join(map(str, size)), f"ElementType = {name}", "ElementDataFile = LOCAL\n"]
-    return "\n".join(lines).encode() + v.tobytes(order="F")
+    return "\n".join(lines).encode()
 
 
-def _nifti_encoded(v: np.ndarray, size: tuple[float, float, float]) -> bytes:
+def nifti_head(dims, kind: str, size: tuple[float, float, float]) -> bytes:
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *v.shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, next(n for n, k in _NIFTI.items() if k == v.dtype.str[1:]), 8 * v.itemsize)
+    struct.pack_into("<8h", head, 40, 3, *dims, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, next(n for n, k in _NIFTI.items() if k == kind), 8 * np.dtype(kind).itemsize)
     struct.pack_into("<4f", head, 76, 1, *size)
     struct.pack_into("<2f", head, 108, 352, 1)
     head[344:348] = b"n+1\0"
-    return bytes(head) + v.tobytes(order="F")
+    return bytes(head)
 
 
-def images_encoded(voxels: DataFrame, form: str = "inr", kind: str = "u1", size: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """name, content: one file (`inr`, `npy`, `tif`, `mha` or `nii`) for each image of voxels (image, x, y, z, v); absent
-    voxels are 0; `npy` and `tif` don't keep the voxel size. An image is put together in one task, as its file is one array."""
-    if form not in ("inr", "npy", "tif", "mha", "nii"):
-        raise ValueError(f"unknown format: {form}")
+def inr_head(dims, kind: str, size: tuple[float, float, float], channels: int = 1) -> bytes:
+    """As many bytes as make a multiple of 256."""
+    what = "float" if kind[0] == "f" else ("unsigned fixed" if kind[0] == "u" else "signed fixed")
+    lines = ["#INRIMAGE-4#{", *[f"{k}DIM={n}" for k, n in zip("XYZ", dims, strict=True)], f"VDIM={channels}", f"TYPE={what}", f"PIXSIZE={8 * np.dtype(kind).itemsize} bits", "SCALE=2**0", "CPU=decm",
+             *[f"V{k}={s}" for k, s in zip("XYZ", size, strict=True)]]
+    head = "\n".join(lines) + "\n"
+    return (head + "\n" * (-(len(head) + 4) % 256) + "##}\n").encode()
+
+
+def images_encoded(voxels: DataFrame, kind: str = "u1") -> DataFrame:
+    """name, content: one TIFF for each image of voxels (image, x, y, z, v); absent voxels are 0, the voxel size isn't kept.
+    Negative places and values that the kind can't hold are errors. A file is put together in one task, as its pages link to
+    each other; the forms that grids.pieces writes have no such limit."""
+    from chronovox.sources.grids import _filled
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         at = rows[["x", "y", "z"]].to_numpy()
-        v = np.zeros(at.max(axis=0) + 1, dtype=f"<{kind}")
-        v[tuple(at.T)] = rows["v"]
-        if form == "npy":
-            out = io.BytesIO()
-            np.save(out, v)
-            content = out.getvalue()
-        elif form == "tif":
-            content = _tiff_encoded(v)
-        elif form != "inr":
-            content = (_meta_encoded if form == "mha" else _nifti_encoded)(v, size)
-        else:
-            what = "float" if kind[0] == "f" else ("unsigned fixed" if kind[0] == "u" else "signed fixed")
-            lines = ["#INRIMAGE-4#{", *[f"{k}DIM={n}" for k, n in zip("XYZ", v.shape, strict=True)], "VDIM=1", f"TYPE={what}", f"PIXSIZE={8 * v.itemsize} bits", "SCALE=2**0", "CPU=decm",
-                     *[f"V{k}={s}" for k, s in zip("XYZ", size, strict=True)]]
-            head = "\n".join(lines) + "\n"
-            content = (head + "\n" * (-(len(head) + 4) % 256) + "##}\n").encode() + v.tobytes(order="F")
-        return pd.DataFrame({"name": [f"{rows['image'].iloc[0]}.{form}"], "content": [content]})
+        if at.min() < 0:
+            raise ValueError(f"image {rows['image'].iloc[0]} has negative places: shift it first")
+        v = _filled(rows, (0, 0, 0), at.max(axis=0) + 1, kind, ["v"])[..., 0]
+        return pd.DataFrame({"name": [f"{rows['image'].iloc[0]}.tif"], "content": [_tiff_encoded(v)]})
 
     return voxels.select("image", "x", "y", "z", "v").groupBy("image").applyInPandas(pack, "name string, content binary")
