@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronovox.catalog import _N, _r, query
-from chronovox.operators import symmetry
+from chronovox.operators import symmetry, topology
 from chronovox.sources import tables as t
 
 #: Landmarks of the two sides of a frame: means of nodes by label; their middles; the line through these by the
@@ -80,3 +80,17 @@ def piecewise_rotation(spark, d):
     origin = (4.0, 3.0, 2.5)
     where = symmetry.knots(marks, plane, ["t"], origin, nearest=0.05)
     return symmetry.piecewise_turned(t.nodes(spark, d), plane, where, ["t"], origin).select("id", "t", _r("turn", 4), _r("x", 4), _r("y", 4), _r("z", 4))
+
+
+@query()
+def thinned_image(spark, d):
+    """Curves that an image is thinned to. SQL can't express it; tests compare it with plain loops."""
+    return topology.thinned(t.voxels(spark, d).where("v >= 46"))
+
+
+@query()
+def skeleton_branches(spark, d):
+    """The branches of a thinned image, and the one that each belongs to once ends shorter than 3 are gone, if it stays."""
+    _, branches = topology.voxel_tree(thinned_image(spark, d))
+    kept = topology.pruned(branches, 3.0).select("branch", "into", F.col("length").alias("whole"))
+    return branches.join(kept, "branch", "left").select("branch", "n", _r("length"), "first", "last", "kind", "into", _r("whole"))
