@@ -31,11 +31,11 @@ def lineage_file(spark, d):
     return binaries.lineages(spark, at).drop("file")
 
 
-@query(f"""WITH {_N}, g AS (SELECT a.t, a.id AS a, b.id AS b FROM n a JOIN n b ON a.t = b.t AND a.id <> b.id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 0.04
-    AND (a.x, a.y, a.z) <> (b.x, b.y, b.z)) SELECT * FROM g""")
+@query(f"""WITH {_N}, g AS (SELECT a.t, a.id AS a, b.id AS b FROM n a JOIN n b ON a.t = b.t AND a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.t = a.t AND c.id <> a.id AND c.id <> b.id
+    AND (a.x - c.x) * (b.x - c.x) + (a.y - c.y) * (b.y - c.y) + (a.z - c.z) * (b.z - c.z) < 0)) SELECT * FROM g""")
 def graph_file(spark, d):
-    n = t.nodes(spark, d)
-    at = _written(spark, binaries.gabriel_encoded(spatial.range_pairs(n, n, 0.2).where("a < b")))
+    """The Gabriel graph of every frame, written and read: rows grow with the nodes."""
+    at = _written(spark, binaries.gabriel_encoded(spatial.gabriel(t.nodes(spark, d))))
     return binaries.gabriel_graphs(spark, at).drop("file")
 
 

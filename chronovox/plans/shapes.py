@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronovox.catalog import _N, _r, query
-from chronovox.operators import symmetry, topology
+from chronovox.catalog import _N, _V, _r, query
+from chronovox.operators import recursive, symmetry, topology
 from chronovox.sources import tables as t
 
 #: Landmarks of the two sides of a frame: means of nodes by label; their middles; the line through these by the
@@ -94,3 +94,28 @@ def skeleton_branches(spark, d):
     _, branches = topology.voxel_tree(thinned_image(spark, d))
     kept = topology.pruned(branches, 3.0).select("branch", "into", F.col("length").alias("whole"))
     return branches.join(kept, "branch", "left").select("branch", "n", _r("length"), "first", "last", "kind", "into", _r("whole"))
+
+
+def _response(sigma: float, order: int, d: str) -> str:
+    """SQL: the weight of a voxel that lies d behind, by the closed form of the filter's response."""
+    a0, a1, w0, b0, c0, c1, w1, b1 = recursive.DERICHE[order]
+    scale = recursive.deriche(sigma, order)[0][0].ahead[0] / (a0 + c0)
+    wave = lambda a, b, w, c: f"({a} * cos({w / sigma} * abs({d})) + {b} * sin({w / sigma} * abs({d}))) * exp(-{c / sigma} * abs({d}))"
+    return f"({scale} * {f'CASE WHEN {d} < 0 THEN -1 ELSE 1 END * ' if order == 1 else ''}({wave(a0, a1, w0, b0)} + {wave(c0, c1, w1, b1)}))"
+
+
+def _along(axis: str, before: str, sigma: float, order: int) -> str:
+    """SQL: `before` filtered along an axis, at all places of the image's bounds on lines that have voxels."""
+    u, v = (c for c in "xyz" if c != axis)
+    return f"""SELECT o."{axis}", b."{u}", b."{v}", sum(b.v * {_response(sigma, order, f'(o."{axis}" - b."{axis}")')}) AS v FROM {before} b, (SELECT unnest(range(min("{axis}"), max("{axis}") + 1)) AS "{axis}" FROM im) o GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH {_V}, a AS ({_along('x', 'im', 1.5, 0)}), b AS ({_along('y', 'a', 2.5, 0)}), c AS ({_along('z', 'b', 0.8, 0)}) SELECT x, y, z, round(v, 6) AS v FROM c")
+def recursive_smooth(spark, d):
+    return recursive.smoothed(t.voxels(spark, d), (1.5, 2.5, 0.8)).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {_V}, a AS ({_along('x', 'im', 1.5, 1)}), b AS ({_along('y', 'a', 1.5, 2)}) SELECT x, y, z, round(v, 6) AS v FROM b")
+def recursive_derivative(spark, d):
+    """The first derivative along x of the second one along y."""
+    return recursive.filtered(t.voxels(spark, d), {"x": recursive.deriche(1.5, 1), "y": recursive.deriche(1.5, 2)}).withColumn("v", F.round("v", 6))
