@@ -3,9 +3,9 @@
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x the damped count of a term. The pairwise part
 learns what an additive model misses: that an insult beside a group's mention, or a second insult, weighs more than
 either alone. Terms are words and their stems (first letters, as many as STEMS says), so that inflected and compounded
-forms of a marking word count together. Terms are hashed. Buckets get parameters if their document frequency differs
-between the labels by a few standard errors: a weak screen, which a term that matters only beside another passes too, as
-it stands more often where both are."""
+forms of a marking word count together. Terms are hashed. Buckets get parameters if they tell labels apart alone (their
+document frequency differs between the labels) or beside another word (documents with both have another share of label 1
+than those with either): what matters in pairs only is kept too, and what matters in neither way can't drown it."""
 
 from __future__ import annotations
 
@@ -53,6 +53,11 @@ def terms(text: str | None) -> dict[int, int]:
 Bag = tuple[np.ndarray, np.ndarray]
 
 
+def _words(text: str | None) -> np.ndarray:
+    """Buckets of the whole words."""
+    return np.unique(np.fromiter((_kept_buckets(w)[0] for w in set(_TERM.findall((text or "").lower()))), "<i4"))
+
+
 def bag(counts: dict[int, int]) -> Bag:
     """Buckets, ascending, and their counts."""
     ids, n = np.fromiter(counts, "<i4", len(counts)), np.fromiter(counts.values(), "<i4", len(counts))
@@ -112,7 +117,7 @@ class Machine:
             return np.zeros(0)
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(*self.features([bag(d) for d in docs]))[0], -30, 30)))
 
-    def fit(self, bags: list[Bag], y: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 2e-3, batch: int = 256, seed: int = 2) -> None:
+    def fit(self, bags: list[Bag], y: np.ndarray, epochs: int = 40, rate: float = 0.1, decay: float = 3e-4, batch: int = 256, seed: int = 2) -> None:
         """Adagrad on the log loss, with decaying parameters."""
         offsets, which, value = self.features(bags)
         ends = np.r_[offsets[1:], len(which)]
@@ -158,6 +163,69 @@ def _differing(bags: DataFrame, n: dict[int, int], least_z: float) -> np.ndarray
     return np.array(sorted(r["k"] for r in counts.where((F.col("all") >= 4) & (z >= least_z)).select("k").collect()), dtype=np.int64)
 
 
+#: Pairs are counted in so many buckets first, and those of buckets that differ by the second number of standard errors
+#: exactly; pairs are in so many documents at least.
+PAIRS, APART, TOGETHER = 1 << 21, 6.0, 16
+
+
+def _pair_buckets(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, second, bucket) of all pairs of ascending words, some at a time."""
+    step = max(1, (1 << 20) // max(1, len(words)))
+    for k in range(0, len(words), step):
+        i, j = np.nonzero(np.arange(len(words)) > np.arange(k, min(k + step, len(words)))[:, None])
+        a, b = words[i + k].astype(np.uint64), words[j].astype(np.uint64)
+        mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD1B54A32D192ED03)
+        yield words[i + k], words[j], (mixed >> np.uint64(64 - 21)).astype(np.int64)
+
+
+def _interacting(bags: DataFrame, n: dict[int, int]) -> np.ndarray:
+    """Buckets of words that, beside another one, have another share of label 1 than both have alone, by APART standard
+    errors. Counting pairs takes time with the square of a document's frequent words; a table of PAIRS counts a task and
+    label, and the pairs of buckets that differ, are all that leaves the tasks."""
+    if not n.get(0) or not n.get(1):
+        return np.zeros(0, dtype=np.int64)
+    spark = bags.sparkSession
+    each = bags.select("toxic", F.explode("words").alias("k")).groupBy("k").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= TOGETHER)
+    each = stored(each)
+    frequent = np.zeros(BUCKETS, bool)
+    frequent[[r["k"] for r in each.select("k").toLocalIterator()]] = True
+    shared = spark.sparkContext.broadcast(frequent)
+    held = bags.select("toxic", "words")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, PAIRS), "<i4")
+        for b in batches:
+            for label, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.asarray(words.values)
+                for _, _, at in _pair_buckets(own[shared.value[own]]):
+                    out[label] += np.bincount(at, minlength=PAIRS).astype("<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
+
+    total = np.zeros((2, PAIRS))
+    for r in held.repartition(4).mapInArrow(counted, "counts binary").toLocalIterator():
+        total += np.frombuffer(r["counts"], "<i4").reshape(2, PAIRS)
+    share = total.sum(0) / (n[0] + n[1])
+    apart = np.abs(total[1] / n[1] - total[0] / n[0]) >= APART * np.sqrt(np.maximum(share, 1e-12) * (1 / n[0] + 1 / n[1]))
+    differ = spark.sparkContext.broadcast(apart & (total.sum(0) >= TOGETHER))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = np.asarray(words.values)
+                for i, j, at in _pair_buckets(own[shared.value[own]]):
+                    some = differ.value[at]
+                    if some.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), label, np.int32)), pa.array(i[some].astype(np.int32)), pa.array(j[some].astype(np.int32))], ["toxic", "i", "j"])
+
+    both = held.mapInArrow(pairs, "toxic int, i int, j int").groupBy("i", "j").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).where(F.col("all") >= TOGETHER)
+    for c in "ij":
+        both = both.join(F.broadcast(each.select(F.col("k").alias(c), F.col("bad").alias(f"bad_{c}"), F.col("all").alias(f"all_{c}"))), c)
+    alone = lambda c: (F.col(f"bad_{c}") + 0.5) / (F.col(f"all_{c}") + 1.0)
+    far = lambda c: F.abs(F.col("bad") / F.col("all") - alone(c)) >= APART * F.sqrt(alone(c) * (1 - alone(c)) / F.col("all"))
+    found = both.where(far("i") & far("j")).select(F.explode(F.array("i", "j")).alias("k")).distinct()
+    return np.array(sorted(r["k"] for r in found.toLocalIterator()), dtype=np.int64)
+
+
 def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_000, least_z: float = 3.0, factors: int = 8) -> Machine:
     """rows: doc_id, text; labels: doc_id, toxic. Without labels, rows has toxic too. Rows whose toxic is neither 0 nor 1
     don't count, nor, with labels, null ids; a null text is empty.
@@ -166,7 +234,8 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
     fewer. With labels, these are sampled before they meet any text: each pair of id and label counts once, so at most
     about 2 * max_rows pairs are broadcast at any size, and texts are scanned where they lie. Copies count once: of
     rows whose terms and counts all agree, one of each label stays. Terms stay on the executors; the driver gets the
-    buckets that pass the screen (at most BUCKETS numbers), and of each sampled row its counts in these. The intercept is
+    buckets that tell labels apart, alone by least_z standard errors or in pairs (at most BUCKETS numbers), and of each
+    sampled row its counts in these. Texts of any length are learned whole. The intercept is
     moved from the sample's share of label 1 to that of all labels. Without both labels the score is a constant."""
     marked = (rows if labels is None else labels).where("toxic IN (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
     if labels is not None:
@@ -178,15 +247,15 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
             for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 ids, n = bag(terms(text.as_py()))
                 same = xxhash.xxh128_digest(ids.tobytes() + n.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([same]), pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32()))], ["toxic", "same", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([same]), pa.array([ids], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int32())), pa.array([_words(text.as_py())], pa.list_(pa.int32()))], ["toxic", "same", "buckets", "counts", "words"])
 
     sample = bounded_sample(marked, "toxic", "doc_id", max_rows)
     if labels is not None:
         sample = rows.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    bags = sample.select("text", "toxic").mapInArrow(run, "toxic int, same binary, buckets array<int>, counts array<int>")
+    bags = sample.select("text", "toxic").mapInArrow(run, "toxic int, same binary, buckets array<int>, counts array<int>, words array<int>")
     bags = stored(bags.dropDuplicates(["toxic", "same"]))
     n = {r["toxic"]: r["count"] for r in bags.groupBy("toxic").count().collect()}
-    machine = Machine(_differing(bags, n, least_z), factors)
+    machine = Machine(np.union1d(_differing(bags, n, least_z), _interacting(bags, n)), factors)
     shared = rows.sparkSession.sparkContext.broadcast(machine.index)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +265,7 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
                 some = shared.value[ids] >= 0
                 yield pa.RecordBatch.from_arrays([pa.array([label.as_py()], pa.int32()), pa.array([same.as_py()]), pa.array([ids[some].tobytes()]), pa.array([counts[some].tobytes()])], ["toxic", "same", "buckets", "counts"])
 
-    found = sorted(map(tuple, bags.mapInArrow(known, "toxic int, same binary, buckets binary, counts binary").collect()))
+    found = sorted(map(tuple, bags.drop("words").mapInArrow(known, "toxic int, same binary, buckets binary, counts binary").collect()))
     y = np.array([r[0] for r in found], dtype=np.float64)
     if len(machine.buckets):
         machine.fit([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in found], y)
@@ -206,7 +275,8 @@ def train(rows: DataFrame, labels: DataFrame | None = None, max_rows: int = 10_0
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) of every row; null and empty texts have the score of a text without known terms."""
+    """doc_id, score (0 to 1) of every row; null and empty texts have the score of a text without known terms. Texts of any
+    length are scored whole, a thousand rows at a time; repeated rows come out repeated, other columns are left out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
