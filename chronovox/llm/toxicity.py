@@ -170,12 +170,12 @@ PAIRS, APART, TOGETHER = 1 << 21, 6.0, 16
 
 def _pair_buckets(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(first, second, bucket) of all pairs of ascending words, some at a time."""
-    step = max(1, (1 << 20) // max(1, len(words)))
+    step = max(1, (1 << 18) // max(1, len(words)))
     for k in range(0, len(words), step):
-        i, j = np.nonzero(np.arange(len(words)) > np.arange(k, min(k + step, len(words)))[:, None])
-        a, b = words[i + k].astype(np.uint64), words[j].astype(np.uint64)
-        mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD1B54A32D192ED03)
-        yield words[i + k], words[j], (mixed >> np.uint64(64 - 21)).astype(np.int64)
+        i, j = np.triu_indices(min(step, len(words) - k), 1, len(words) - k)
+        a, b = words[i + k], words[j + k]
+        mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+        yield a, b, (mixed >> np.uint64(64 - 21)).astype(np.int64)
 
 
 def _interacting(bags: DataFrame, n: dict[int, int]) -> np.ndarray:
@@ -194,11 +194,24 @@ def _interacting(bags: DataFrame, n: dict[int, int]) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, PAIRS), "<i4")
+        waiting: list[list[np.ndarray]] = [[], []]
+        sizes = [0, 0]
+
+        def added(label: int) -> None:
+            if sizes[label]:
+                out[label] += np.bincount(np.concatenate(waiting[label]), minlength=PAIRS).astype("<i4")
+            waiting[label], sizes[label] = [], 0
+
         for b in batches:
             for label, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own = np.asarray(words.values)
                 for _, _, at in _pair_buckets(own[shared.value[own]]):
-                    out[label] += np.bincount(at, minlength=PAIRS).astype("<i4")
+                    waiting[label].append(at)
+                    sizes[label] += len(at)
+                    if sizes[label] >= PAIRS:
+                        added(label)
+        added(0)
+        added(1)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
 
     total = np.zeros((2, PAIRS))
