@@ -215,7 +215,7 @@ def _interacting(bags: DataFrame, n: dict[int, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["counts"])
 
     total = np.zeros((2, PAIRS))
-    for r in stored(held.repartition(4).mapInArrow(counted, "counts binary")).toLocalIterator():
+    for r in held.repartition(4).mapInArrow(counted, "counts binary").toLocalIterator():  # one after another: a table is large
         total += np.frombuffer(r["counts"], "<i4").reshape(2, PAIRS)
     share = total.sum(0) / (n[0] + n[1])
     apart = np.abs(total[1] / n[1] - total[0] / n[0]) >= APART * np.sqrt(np.maximum(share, 1e-12) * (1 / n[0] + 1 / n[1]))
