@@ -393,3 +393,4 @@ from chronovox.plans import wider as _wider  # noqa: E402, F401, I001
 from chronovox.plans import further as _further  # noqa: E402, F401
 from chronovox.plans import files as _files  # noqa: E402, F401
 from chronovox.plans import shapes as _shapes  # noqa: E402, F401
+from chronovox.plans import floods as _floods  # noqa: E402, F401

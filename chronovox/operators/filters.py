@@ -8,7 +8,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronovox.operators import flooding
 from chronovox.operators.checkpoints import stored
+from chronovox.operators.flooding import CHAMFER
 from chronovox.operators.voxels import CROSS, components, dilated, eroded, number, spread
 
 PLACE = ["x", "y", "z"]
@@ -120,24 +122,11 @@ def by_size(labelled: DataFrame, most: int | None = None) -> DataFrame:
     return labelled.join(r.select("component", "rank"), "component").select(*PLACE, "rank")
 
 
-#: Chamfer lengths 3, 4, 5 of steps along one, two, three axes.
-CHAMFER = {(i, j, k): {1: 3, 2: 4, 3: 5}[abs(i) + abs(j) + abs(k)] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) != (0, 0, 0)}
-
-
 def distance_map(image: DataFrame, sources: DataFrame, chamfer: dict | None = None) -> DataFrame:
-    """x, y, z, d: the least chamfer length of a way inside the image from a source; voxels out of reach are left out. Each
-    round moves the frontier by one voxel; it ends when nothing gets nearer."""
-    steps = F.explode(F.array(*[F.struct(F.lit(o[0]).alias("x"), F.lit(o[1]).alias("y"), F.lit(o[2]).alias("z"), F.lit(w).alias("w")) for o, w in sorted((chamfer or CHAMFER).items())]))
-    there = stored(image.select(*PLACE))
-    best = stored(there.join(sources.select(*PLACE).distinct(), PLACE, "left_semi").withColumns({"d": F.lit(0), "new": F.lit(True)}))
-    while True:
-        ahead = best.where("new").withColumn("o", steps).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in PLACE], (F.col("d") + F.col("o.w")).alias("e"))
-        ahead = ahead.groupBy(*PLACE).agg(F.min("e").alias("e")).join(there, PLACE, "left_semi")
-        nearer = F.col("d").isNull() | (F.col("e") < F.col("d"))
-        best = stored(best.drop("new").join(ahead, PLACE, "full").select(*PLACE, F.least("d", "e").alias("d"), F.coalesce(F.col("e").isNotNull() & nearer, F.lit(False)).alias("new")))
-        if best.where("new").isEmpty():
-            break
-    return best.select(*PLACE, "d")
+    """x, y, z, d: the least chamfer length of a way inside the image from a source; voxels out of reach are left out."""
+    found = flooding.distances(image.select(*PLACE), sources.select(*PLACE), chamfer)
+    whole = all(isinstance(w, int) for w in (chamfer or CHAMFER).values())
+    return found.withColumn("d", F.col("d").cast("long")) if whole else found
 
 
 def _lowest_step(image: DataFrame) -> DataFrame:

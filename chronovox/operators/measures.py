@@ -49,18 +49,26 @@ def histogram_lines(histogram: DataFrame) -> DataFrame:
 EPSILON = 1e-9
 
 
-def block_similarities(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """bx, by, bz, n, ssd, sad, cc, cc_extended for blocks of two images: sums of squared and absolute differences, the
-    squared correlation, and its extension 2 cov / (var_a + var_b + (mean_a - mean_b)^2), which also falls if means or
-    spreads differ; null where a variance vanishes."""
-    both = a.select(*PLACE, "v").join(b.select(*PLACE, F.col("v").alias("u")), PLACE)
+def block_similarities(a: DataFrame, b: DataFrame, width: int, within: tuple[float, float] = (float("-inf"), float("inf"))) -> DataFrame:
+    """bx, by, bz, n, ssd, sad, cc, cc_extended for blocks of two images, over the n places where both have values between the
+    two bounds of `within`: sums of squared and absolute differences, the squared correlation, and the extended one, whose
+    means and variances are those of each block's own voxels within the bounds, whether the other image has them or not:
+    (sum (v - mean_a)(u - mean_b))^2 / (n^2 var_a var_b). Null where variances vanish."""
+    cell = [F.floor(F.col(c) / width).alias(f"b{c}") for c in PLACE]
+    block = ["bx", "by", "bz"]
+    inside = (F.col("v") > within[0]) & (F.col("v") < within[1])
+    a, b = a.where(inside).select(*PLACE, "v"), b.where(inside).select(*PLACE, "v")
+    both = a.join(b.withColumnRenamed("v", "u"), PLACE)
     gap = F.col("v") - F.col("u")
-    g = both.groupBy(*[F.floor(F.col(c) / width).alias(f"b{c}") for c in PLACE]).agg(
+    g = both.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.sum(gap * gap).alias("ssd"), F.sum(F.abs(gap)).alias("sad"), F.covar_pop("v", "u").alias("c"), F.var_pop("v").alias("p"), F.var_pop("u").alias("q"), F.avg("v").alias("m"), F.avg("u").alias("k"))
+    own = lambda image, s: image.groupBy(*cell).agg(F.avg("v").alias(f"mean_{s}"), F.var_pop("v").alias(f"var_{s}"))
+    g = g.join(own(a, "a"), block).join(own(b, "b"), block)
     some = (F.col("p") > EPSILON) & (F.col("q") > EPSILON)
-    apart = F.col("m") - F.col("k")
-    return g.select("bx", "by", "bz", "n", "ssd", "sad", F.when(some, F.col("c") * F.col("c") / (F.col("p") * F.col("q"))).alias("cc"),
-                    F.when(some, 2 * F.col("c") / (F.col("p") + F.col("q") + apart * apart)).alias("cc_extended"))
+    # The mean over common places of the product of deviations from the blocks' own means.
+    shared = F.col("c") + (F.col("m") - F.col("mean_a")) * (F.col("k") - F.col("mean_b"))
+    spread = F.col("var_a") * F.col("var_b")
+    return g.select(*block, "n", "ssd", "sad", F.when(some, F.col("c") * F.col("c") / (F.col("p") * F.col("q"))).alias("cc"), F.when(spread > EPSILON, shared * shared / spread).alias("cc_extended"))
 
 
 def windowed_blocks(image: DataFrame, width: int, low: float, high: float, most_removed: float = 0.5) -> DataFrame:

@@ -33,12 +33,14 @@ def hist_difference(spark, d):
     return measures.histogram_difference(voxels.histogram(image.where("z <= 3"), 5.0), voxels.histogram(image.where("z > 3"), 5.0))
 
 
-@query(f"""WITH {_V}, g AS (SELECT a.x // 8 AS bx, a.y // 8 AS by, a.z // 8 AS bz, count(*) AS n, sum((a.v - b.v) ** 2) AS ssd, sum(abs(a.v - b.v)) AS sad, covar_pop(a.v, b.v) AS c, var_pop(a.v) AS p, var_pop(b.v) AS q, avg(a.v) - avg(b.v) AS m
-    FROM im a JOIN im b ON a.x = b.x AND a.y = b.y AND b.z = a.z + 1 GROUP BY 1, 2, 3) SELECT bx, "by", bz, n, round(ssd, 6) AS ssd, round(sad, 6) AS sad, round(CASE WHEN p > 1e-9 AND q > 1e-9 THEN c * c / (p * q) END, 6) AS cc,
-    round(CASE WHEN p > 1e-9 AND q > 1e-9 THEN 2 * c / (p + q + m * m) END, 6) AS cc_extended FROM g""")
+@query(f"""WITH {_V}, a AS (SELECT * FROM im WHERE v > 5 AND v < 49), b AS (SELECT x, y, z - 1 AS z, v FROM a),
+    p AS (SELECT x // 8 AS bx, y // 8 AS by, floor(z / 8) AS bz, avg(v) AS ma, var_pop(v) AS va FROM a GROUP BY 1, 2, 3), q AS (SELECT x // 8 AS bx, y // 8 AS by, floor(z / 8) AS bz, avg(v) AS mb, var_pop(v) AS vb FROM b GROUP BY 1, 2, 3),
+    j AS (SELECT a.x // 8 AS bx, a.y // 8 AS by, floor(a.z / 8) AS bz, a.v, b.v AS u FROM a JOIN b USING (x, y, z)),
+    g AS (SELECT bx, "by", bz, count(*) AS n, sum((v - u) ** 2) AS ssd, sum(abs(v - u)) AS sad, covar_pop(v, u) AS c, var_pop(v) AS vv, var_pop(u) AS vu, avg((v - ma) * (u - mb)) AS r, any_value(va * vb) AS w FROM j JOIN p USING (bx, "by", bz) JOIN q USING (bx, "by", bz) GROUP BY 1, 2, 3)
+    SELECT bx, "by", CAST(bz AS BIGINT) AS bz, n, round(ssd, 6) AS ssd, round(sad, 6) AS sad, round(CASE WHEN vv > 1e-9 AND vu > 1e-9 THEN c * c / (vv * vu) END, 6) AS cc, round(CASE WHEN w > 1e-9 THEN r * r / w END, 6) AS cc_extended FROM g""")
 def block_similarities(spark, d):
     a = t.voxels(spark, d)
-    return measures.block_similarities(a, a.withColumn("z", F.col("z") - 1), 8).select("bx", "by", "bz", "n", *[_r(c) for c in ("ssd", "sad", "cc", "cc_extended")])
+    return measures.block_similarities(a, a.withColumn("z", F.col("z") - 1), 8, (5.0, 49.0)).select("bx", "by", "bz", "n", *[_r(c) for c in ("ssd", "sad", "cc", "cc_extended")])
 
 
 @query(f"""WITH {_V}, g AS (SELECT x // 4 AS bx, y // 4 AS by, z // 4 AS bz, count(*) AS a, count(*) FILTER (v > 40 AND v < 49) AS n, avg(v) FILTER (v > 40 AND v < 49) AS mean, var_pop(v) FILTER (v > 40 AND v < 49) AS variance FROM im GROUP BY 1, 2, 3)
