@@ -89,17 +89,19 @@ def stabilised(nodes: DataFrame, edges: DataFrame, density: DataFrame) -> DataFr
 
 def carried_labels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id, label: nodes that exactly one label reaches. seeds: id, label (a node may have several); a label goes from a seed
-    to all its descendants and to all its ancestors, but not from these down again. Frontiers of (node, label) pairs move
-    one edge a round; pairs that are known don't move again."""
+    to all its descendants and to all its ancestors, but not from these down again. Each round labels go over ways of twice
+    as many edges as before, so rounds grow with the logarithm of the lines' length; a round's ways are as many as the pairs
+    of nodes that lie so many edges apart: in a forest one a node at most."""
     seeds = seeds.select("id", "label").distinct()
     found = seeds
     for own, other in (("src", "dst"), ("dst", "src")):
-        step = edges.select(F.col(own).alias("id"), F.col(other).alias("to")).distinct()
-        seen = frontier = stored(seeds)
+        way = stored(edges.select(F.col(own).alias("id"), F.col(other).alias("to")).distinct())
+        seen = stored(seeds)
         while True:
-            frontier = stored(frontier.join(step, "id").select(F.col("to").alias("id"), "label").distinct().join(seen, ["id", "label"], "left_anti"))
-            if frontier.isEmpty():
+            new = stored(seen.join(way, "id").select(F.col("to").alias("id"), "label").distinct().join(seen, ["id", "label"], "left_anti"))
+            if new.isEmpty():
                 break
-            seen = stored(seen.unionByName(frontier))
+            seen = stored(seen.unionByName(new))
+            way = stored(way.join(way.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")).distinct())
         found = found.unionByName(seen)
     return found.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("label")).where("n = 1").select("id", "label")

@@ -177,8 +177,10 @@ def matrix_files(spark, d):
 @query("""SELECT CAST(p_partkey AS BIGINT) + i AS l, CAST(p_size AS BIGINT) + j AS r FROM part, range(2) a(i), range(2) b(j)""")
 def correspondence_file(spark, d):
     at = new_folder(spark, "pairs")
-    line = F.format_string("%d %d - %d %d", F.col("p_partkey"), F.col("p_partkey") + 1, F.col("p_size"), F.col("p_size") + 1)
-    t.table(spark, d, "part").select(line.alias("line")).write.mode("overwrite").text(at)
+    part = t.table(spark, d, "part")
+    for name, column in (("l", "p_partkey"), ("r", "p_size")):
+        part = part.withColumn(name, F.explode(F.array(F.col(column), F.col(column) + 1)))
+    exports.to_correspondences(part.select(F.col("p_partkey").alias("g"), "l", "r"), at)
     return texts.correspondences(spark, at).select("l", "r")
 
 

@@ -156,3 +156,18 @@ def translations(steps: DataFrame, folder: str) -> None:
 def point_lines(points: DataFrame) -> DataFrame:
     """t, i, line: `x y z` lines of points (t, i, x, y, z)."""
     return points.select("t", "i", F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("line"))
+
+
+def correspondence_lines(couples: DataFrame) -> DataFrame:
+    """g, line: `l0 l1 - r0 r1` lines of couples (g, l, r), a line for each g, labels in order. Every l of a line belongs to
+    every r when it is read again, so couples of one g must be all pairs of its labels; others raise an error. A line holds
+    one number's labels; couples with a null are left out."""
+    rows = couples.where("g IS NOT NULL AND l IS NOT NULL AND r IS NOT NULL").select(*[F.col(c).cast("long").alias(c) for c in ("g", "l", "r")]).distinct()
+    sides = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("l")).alias("ls"), F.array_sort(F.collect_set("r")).alias("rs"))
+    whole = F.when(F.col("n") == F.size("ls") * F.size("rs"), F.concat_ws(" - ", F.array_join("ls", " "), F.array_join("rs", " ")))
+    return sides.select("g", F.coalesce(whole, F.raise_error(F.lit("a number's couples are not all pairs of its labels"))).alias("line"))
+
+
+def to_correspondences(couples: DataFrame, folder: str) -> None:
+    """A folder of text files that texts.correspondences() reads."""
+    correspondence_lines(couples).select("line").write.mode("overwrite").text(folder)

@@ -161,3 +161,13 @@ def test_amira_tulip_csv(spark, tmp_path):  # noqa: F811
     exports.to_csv(exports.database_expanded(labelled, edges), str(tmp_path / "db"))
     got = spark.read.option("header", True).csv(str(tmp_path / "db"))
     assert got.columns == list(exports.DATABASE + exports.EXPANDED) and got.count() == len(NODES)
+
+
+def test_correspondences_written(spark, tmp_path):  # noqa: F811
+    couples = [(1, 5, 7), (1, 4, 7), (2, 6, 8), (2, 6, 9), (2, 6, 9), (3, None, 1)]
+    df = spark.createDataFrame(couples, "g long, l long, r long")
+    assert {r.g: r.line for r in exports.correspondence_lines(df).collect()} == {1: "4 5 - 7", 2: "6 - 8 9"}
+    exports.to_correspondences(df, str(tmp_path / "c"))
+    assert sorted((r.l, r.r) for r in texts.correspondences(spark, str(tmp_path / "c")).collect()) == [(4, 7), (5, 7), (6, 8), (6, 9)]
+    with pytest.raises(Exception, match="all pairs"):
+        exports.correspondence_lines(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "g long, l long, r long")).collect()
