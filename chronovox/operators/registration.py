@@ -176,10 +176,21 @@ def matched_blocks(floating: DataFrame, reference: DataFrame, width: int = 4, ha
     return best.select(F.lit(0).alias("g"), F.concat_ws(",", *cell).alias("i"), *[a[c].alias(f"a{c}") for c in "xyz"], *[(a[c] + F.col(f"s.o{c}")).alias(f"b{c}") for c in "xyz"], F.col("s.cc").alias("w"))
 
 
+def between_extents(floating: DataFrame, reference: DataFrame) -> np.ndarray | None:
+    """The translation between the mean places of two images' voxels, if either image has one value only; else none."""
+    a, b = (i.agg(*[F.avg(c).alias(c) for c in "xyz"], (F.max("v") - F.min("v")).alias("spread")).collect()[0] for i in (floating, reference))
+    if a["spread"] is None or b["spread"] is None or min(a["spread"], b["spread"]) ** 2 > 1e-9:
+        return None
+    out = np.eye(4)
+    out[:3, 3] = [b[c] - a[c] for c in "xyz"]
+    return out
+
+
 def block_matching(floating: DataFrame, reference: DataFrame, kind: str = "rigid", levels: int = 2, rounds: int = 4, width: int = 4, half: int = 2, keep: float = 0.75, fraction: float = 0.75) -> np.ndarray:
     """The 4 x 4 matrix from voxels of the floating image to those of the reference: from the coarsest level of the pyramid
     on, move the floating image, match blocks, fit with trimming, compose, until the matrix stays or the rounds are over.
-    Only the matrix comes to the driver."""
+    No block of an image of one value varies: there the step is from the mean place of the floating image's voxels to that
+    of the reference's. Only matrices come to the driver."""
     pyramids = [(stored(floating.select("x", "y", "z", "v")), stored(reference.select("x", "y", "z", "v")))]
     for _ in range(levels - 1):
         pyramids.append(tuple(stored(voxels.pyramid(i).drop("n")) for i in pyramids[-1]))
@@ -194,9 +205,10 @@ def block_matching(floating: DataFrame, reference: DataFrame, kind: str = "rigid
             own = np.linalg.inv(real) @ total @ real
             moved = stored(resampled(flo, own))
             fit = trimmed_fit(matched_blocks(moved, ref, width, half, keep), kind, fraction, 10, weighted=True).collect()
-            if not fit or fit[0]["m"] is None:
+            found = np.array(fit[0]["m"]).reshape(4, 4) if fit and fit[0]["m"] is not None else between_extents(moved, ref)
+            if found is None:
                 break
-            step = real @ np.array(fit[0]["m"]).reshape(4, 4) @ np.linalg.inv(real)
+            step = real @ found @ np.linalg.inv(real)
             total = step @ total
             if np.abs(step - np.eye(4)).max() < 1e-3:
                 break
