@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chronovox.functions import angles
 from chronovox.operators import graphs, lineage, motion, spatial, transforms, voxels
-from chronovox.operators.checkpoints import stored
 from chronovox.sources import tables as t
 
 QUERIES: dict = {}
@@ -58,11 +57,7 @@ def knn10(spark, d):
     SELECT id, min(m) AS component, (SELECT count(*) FROM l WHERE l.a = c.id) AS links FROM c GROUP BY 1""")
 def range_join(spark, d):
     """Each node's number of neighbours nearer than 0.2 in its frame, and its class of nodes that such links connect."""
-    n = t.nodes(spark, d)
-    pairs = stored(spatial.range_pairs(n, n, 0.2).where("d > 0").select("a", "b"))
-    links = pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-    classes = graphs.named_by_least(pairs.where("a < b")).withColumnRenamed("node", "id")
-    return n.select("id").join(links, "id", "left").join(classes, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    return spatial.range_classes(t.nodes(spark, d), 0.2)
 
 
 @query(f"""WITH {_N} SELECT a.t, a.id AS a, b.id AS b FROM n a JOIN n b ON a.t = b.t AND a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM n c
